@@ -8,8 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, jaccard, mixing, token_counts
-from lodestar.llm.common import table
+from lodestar.llm import bpe, jaccard, lm, mixing, token_counts, toxicity
+from lodestar.llm.common import held_out, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id"), 5)))
+    out = toxicity.score_ids(docs, model, ["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -63,7 +74,7 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard, op4_token_counts, op6_byte_bpe, op9_source_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op3_ngram_jaccard, op4_token_counts, op5_lm_score, op6_byte_bpe, op9_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
