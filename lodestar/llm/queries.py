@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, jaccard, lm, mixing, token_counts, toxicity
+from lodestar.llm import bpe, html_extract, ivfpq, jaccard, lm, mixing, mtree, token_counts, toxicity
 from lodestar.llm.common import held_out, table
 
 
@@ -19,6 +19,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark, table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def quality_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with a column weight: 2 for documents labelled as good, 0.5 as bad, else 1."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -51,6 +70,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(spark, table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT d.doc_id, d.source, CAST(coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -74,8 +97,8 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_ngram_jaccard, op4_token_counts, op5_lm_score, op6_byte_bpe, op9_source_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_ngram_jaccard, op4_token_counts, op5_lm_score, op6_byte_bpe, op7_exact_top_k, op9_source_mix, op10_ivf_pq)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": OP9_SQL}
+    return {"op7_exact_top_k": OP7_SQL, "op9_source_mix": OP9_SQL}
