@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, html_extract, ivfpq, jaccard, lm, mixing, mtree, token_counts, toxicity
+from lodestar.llm import bpe, html_extract, ivfpq, jaccard, line_dedup, lm, mixing, mtree, token_counts, toxicity
 from lodestar.llm.common import held_out, table
 
 
@@ -57,6 +57,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, n_chars and kept_sha256: what is left of each document's text."""
+    out = line_dedup.dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_dropped", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def quality_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with a column weight: 2 for documents labelled as good, 0.5 as bad, else 1."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -97,7 +104,7 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_ngram_jaccard, op4_token_counts, op5_lm_score, op6_byte_bpe, op7_exact_top_k, op9_source_mix, op10_ivf_pq)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_ngram_jaccard, op4_token_counts, op5_lm_score, op6_byte_bpe, op7_exact_top_k, op8_line_dedup, op9_source_mix, op10_ivf_pq)}
 
 
 def oracle_sql() -> dict[str, str]:
