@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestar.llm.common import Numbering, text_chunks
+from lodestar.llm.common import Numbering, released, text_chunks
 
 NONE = np.int32(2**31 - 1)
 #: Distinct pre-tokens that a worker keeps encoded; beyond it, it starts afresh.
@@ -225,7 +225,7 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text", ids: st
             made = pa.array([[i for w in x for i in e.ids[w]] for x in words], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, ids])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -238,7 +238,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             made = [b"".join([pieces[i] for i in x or ()]) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def digests(df: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
@@ -260,4 +260,4 @@ def digests(df: DataFrame, path: str, pattern: str, column: str = "text") -> Dat
             kept = [b.column(b.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(one), pa.array(two)], [*rest, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(*rest, column).mapInArrow(run, schema)
+    return df.select(*rest, column).mapInArrow(released(run), schema)

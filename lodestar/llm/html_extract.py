@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestar.llm.common import text_chunks
+from lodestar.llm.common import released, text_chunks
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -307,4 +307,4 @@ def extract_text(df: DataFrame, column: str = "html", out: str = "text", model:
             made = [m.extract(x) for x in b.column(b.schema.get_field_index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(made, pa.string())], [*rest, out])
 
-    return df.select(*rest, column).mapInArrow(run, T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.StringType())]))
+    return df.select(*rest, column).mapInArrow(released(run), T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.StringType())]))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Numbering, drop, materialise, mix64, ragged, small, text_chunks, texts_of
+from lodestar.llm.common import drop, materialise, mix64, Numbering, ragged, released, small, text_chunks, texts_of
 from lodestar.llm.components import components
 
 #: Part of a set by which its prefix is longer than one occurrence would ask for.
@@ -245,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-    return joined.mapInArrow(lambda it: _probe(it, percent), "a long, b long")
+    return joined.mapInArrow(released(lambda it: _probe(it, percent)), "a long, b long")
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -253,8 +253,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id"
     (the row's own where there is none)."""
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    packed = docs.mapInArrow(lambda it: _scan(it, key, text, size, percent, shards), "shard int, kind int, blob binary")
-    facts = packed.repartition(shards // 4, "shard").sortWithinPartitions("shard").mapInArrow(_settle, "doc long, n long, print long, shared long, kind int")
+    packed = docs.mapInArrow(released(lambda it: _scan(it, key, text, size, percent, shards)), "shard int, kind int, blob binary")
+    facts = packed.repartition(shards // 4, "shard").sortWithinPartitions("shard").mapInArrow(released(_settle), "doc long, n long, print long, shared long, kind int")
     facts, p_facts = materialise(spark, facts, "jaccard-facts")
     rows = facts.where("kind = 0").select("doc", "n", "print")
     need = lambda n: F.ceil(n * percent / F.lit(100)).cast("long")
@@ -263,7 +263,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id"
     some, p_some = materialise(spark, some, "jaccard-some")
     # the whole sets of what is left, one document for each
     again = docs.join(small(some.select(key).distinct(), some.count()), key, "left_semi")
-    sets = again.select(text).mapInArrow(lambda it: _sets(it, text, size), "print long, n long, shingles array<long>").where("n > 0").dropDuplicates(["print"])
+    sets = again.select(text).mapInArrow(released(lambda it: _sets(it, text, size)), "print long, n long, shingles array<long>").where("n > 0").dropDuplicates(["print"])
     sets, p_sets = materialise(spark, sets, "jaccard-sets")
     each = sets.select("print", "n", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")

@@ -69,20 +69,22 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
     return F.when(F.abs(m - n) > most, F.lit(most + 1).cast("long")).otherwise(value)
 
 
-def _keys(line: Column, of: Column, own: bool) -> Column:
-    """Structs (key, own, fine) of a line for the partition of lines of ``of`` characters."""
+def _segment(line: Column, of: Column, side: int) -> Column:
+    """The hash of one segment of a line, for the partition of lines of ``of`` characters."""
     half = F.floor(of / 2).cast("int")
-    out = []
-    for side in (0, 1):
-        kept = F.substr(line, F.lit(1), half) if side == 0 else F.right(line, of - half)
-        start, size = (half, of - half) if side == 0 else (F.lit(0), half)
-        fine = []
-        for k in range(FINE):
-            a = start + F.floor(size * k / FINE).cast("int")
-            b = start + F.floor(size * (k + 1) / FINE).cast("int")
-            fine.append(F.xxhash64(of, F.lit(2 + side * FINE + k), F.substr(line, F.lit(1), a), F.right(line, of - b)))
-        out.append(F.struct(F.xxhash64(of, F.lit(side), kept).alias("key"), F.lit(own).alias("own"), F.array(*fine).alias("fine")))
-    return F.array(*out)
+    return F.xxhash64(of, F.lit(side), F.substr(line, F.lit(1), half) if side == 0 else F.right(line, of - half))
+
+
+def _pieces(line: Column, of: Column, side: int) -> Column:
+    """Hashes of all but one of the pieces of the rest of the line, piece by piece."""
+    half = F.floor(of / 2).cast("int")
+    start, size = (half, of - half) if side == 0 else (F.lit(0), half)
+    cut = lambda k: start + F.floor(size * k / FINE).cast("int")
+    return F.array(*(F.xxhash64(of, F.lit(2 + side * FINE + k), F.substr(line, F.lit(1), cut(k)), F.right(line, of - cut(k + 1))) for k in range(FINE)))
+
+
+#: Each line is in the lists of both segments of its own length, and of lines a character shorter.
+ROLES = [(own, side) for own in (True, False) for side in (0, 1)]
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -95,18 +97,20 @@ def classes(spark: SparkSession, lines: DataFrame, least: int = LEAST) -> DataFr
     """Links (a, b) of hashed lines within one edit. lines: a column line."""
     n = F.char_length("line")
     known = lines.where(n >= least).select(F.xxhash64("line").alias("id"), "line").withColumn("n", F.char_length("line"))
-    keys = F.concat(_keys(F.col("line"), F.col("n"), True), _keys(F.col("line"), F.col("n") - 1, False))
-    each = known.select("id", F.col("n"), keys.alias("keys")).dropDuplicates(["id"])
+    length = lambda own: F.col("n") if own else F.col("n") - 1
+    each = known.select("id", *(_segment(F.col("line"), length(own), side).alias(f"k{i}") for i, (own, side) in enumerate(ROLES))).dropDuplicates(["id"])
     each, p_each = materialise(spark, each, "lines-keys")
-    rows = each.select("id", F.explode(F.transform("keys", lambda k: F.struct(k["key"].alias("key"), k["own"].alias("own")))).alias("k")).select("id", "k.*")
+    rows = each.select("id", F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(own).alias("own")) for i, (own, _) in enumerate(ROLES)))).alias("k")).select("id", "k.*")
     count = rows.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("own").alias("any"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("any and lo <> hi").select("key", "n")
-    hits = rows.join(count, "key")
-    hits, p_hits = materialise(spark, hits, "lines-hits")
+    hits, p_hits = materialise(spark, rows.join(count, "key"), "lines-hits")
     plain = hits.where(F.col("n") <= MANY).select("key", "id", "own")
-    wide = hits.where(F.col("n") > MANY).select("key", "id").distinct()
-    fine = each.select("id", F.explode("keys").alias("k")).select("id", F.col("k.key").alias("key"), F.col("k.own").alias("own"), F.col("k.fine").alias("fine")).join(wide, ["id", "key"]).select("id", "own", F.explode("fine").alias("key"))
-    again = fine.groupBy("key").agg(F.bool_or("own").alias("any"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("any and lo <> hi").select("key")
-    lists = plain.unionByName(fine.join(again, "key").select("key", "id", "own"))
+    wide, p_wide = materialise(spark, hits.where(F.col("n") > MANY).select("key", "id").distinct(), "lines-wide")
+    ids = wide.select("id").distinct()
+    again = known.join(small(ids, wide.count()), "id", "left_semi").dropDuplicates(["id"])
+    again = again.select("id", F.explode(F.array(*(F.struct(_segment(F.col("line"), length(own), side).alias("key"), F.lit(own).alias("own"), _pieces(F.col("line"), length(own), side).alias("fine")) for own, side in ROLES))).alias("k")).select("id", "k.*")
+    fine, p_fine = materialise(spark, again.join(wide, ["id", "key"]).select("id", "own", F.explode("fine").alias("key")), "lines-fine")
+    open_fine = fine.groupBy("key").agg(F.bool_or("own").alias("any"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("any and lo <> hi").select("key")
+    lists = plain.unionByName(fine.join(open_fine, "key").select("key", "id", "own"))
     lists, p_lists = materialise(spark, lists, "lines-lists")
     # the texts of candidates alone
     wanted, p_wanted = materialise(spark, lists.select("id").distinct(), "lines-wanted")
@@ -128,7 +132,7 @@ def classes(spark: SparkSession, lines: DataFrame, least: int = LEAST) -> DataFr
     y = open_.select("key", F.col("id").alias("b"), F.col("own").alias("ob"), F.col("comp").alias("cb"), "largest")
     pairs = x.join(y, "key").where("(oa or ob) and ca <> cb and (cb = largest or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     out, _ = materialise(spark, first.union(verified(pairs)), "lines-links")
-    drop(spark, p_each, p_hits, p_lists, p_wanted, p_texts, p_first, p_open)
+    drop(spark, p_each, p_hits, p_wide, p_fine, p_lists, p_wanted, p_texts, p_first, p_open)
     return out
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestar.llm.common import Numbering, ragged, text_chunks, texts_of
+from lodestar.llm.common import Numbering, ragged, released, text_chunks, texts_of
 
 CACHE_WORDS = 400_000
 
@@ -193,4 +193,4 @@ def count_tokens(df: DataFrame, path: str, column: str = "text", before: bytes =
             kept = [b.column(b.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*rest, words, tokens])
 
-    return df.select(*rest, column).mapInArrow(run, schema)
+    return df.select(*rest, column).mapInArrow(released(run), schema)

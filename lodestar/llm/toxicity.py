@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import Numbering, text_chunks, texts_of
+from lodestar.llm.common import Numbering, released, text_chunks, texts_of
 
 #: Labelled rows that training uses at most: toxic ones, others.
 SAMPLE = (1000, 1500)
@@ -34,8 +34,8 @@ SAMPLE = (1000, 1500)
 SAMPLE_WORDS = 2048
 WINDOW, STRIDE, PIECE = 32, 16, 24
 VOCABULARY, EMBED, CHAR_EMBED, CHAR_STATE, STATE = 8000, 12, 8, 12, 12
-CACHE_WORDS = 150_000
-BLOCK = 2048
+CACHE_WORDS = 80_000
+BLOCK = 1024
 #: ASCII to lower-case letters and digits, all other ASCII to spaces; bytes beyond stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -286,8 +286,8 @@ class _Scorer:
         if not new:
             return
         made: tuple[list, list] = ([], [])
-        for i in range(0, len(new), 8192):
-            x, _ = self.model.features(new[i : i + 8192])
+        for i in range(0, len(new), 4096):
+            x, _ = self.model.features(new[i : i + 4096])
             for k, side in enumerate("fb"):
                 made[k].append(x @ self.model.p[f"ww{side}"])
         self.tables = [np.concatenate([self.tables[k], *made[k]]) for k in range(2)]
@@ -343,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     joined = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), key)
     kind = dict(docs.dtypes)[key]
-    rows = joined.select(key, text, "y").mapInArrow(cut, f"k {kind}, words binary, y int").collect()
+    rows = joined.select(key, text, "y").mapInArrow(released(cut), f"k {kind}, words binary, y int").collect()
     rows.sort(key=lambda r: (r["k"], bytes(r["words"])))
     return fit([(bytes(r["words"]).split(b" ") if r["words"] else [], r["y"]) for r in rows])
 
@@ -361,7 +361,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
         for b in text_chunks(batches, text, 2_000_000):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer.scores(texts_of(b, text)))], [*rest, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def score_ids(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
@@ -375,4 +375,4 @@ def score_ids(docs: DataFrame, model: Model | None, keep: list[str], text: str =
             kept = [b.column(b.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scorer.scores(texts_of(b, text)))], [*keep, out])
 
-    return docs.select(*keep, text).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())]))
+    return docs.select(*keep, text).mapInArrow(released(run), T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())]))
