@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestar.llm.common import Numbering, released, text_chunks
+from lodestar.llm.common import CHUNK_BYTES, Numbering, released, text_chunks
 
 NONE = np.int32(2**31 - 1)
 #: Distinct pre-tokens that a worker keeps encoded; beyond it, it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 @cache
@@ -180,9 +180,10 @@ class Encoder:
         self.number, self.ids, self.text = Numbering(), [], []
         self.lengths = array("i")
 
-    def words(self, texts: list[str]) -> list[list[int]]:
-        """Numbers of the pre-tokens of each text; all of them encoded."""
-        if len(self.number) > CACHE_WORDS:
+    def words(self, texts: list[str], most: int = CACHE_WORDS) -> list[list[int]]:
+        """Numbers of the pre-tokens of each text; all of them encoded. Known ones are forgotten once
+        they are more than ``most``."""
+        if len(self.number) > most:
             self.clear()
         number = self.number
         out = [[number[w] for w in self.split(x)] for x in texts]
@@ -224,6 +225,7 @@ def encode(df: DataFrame, path: str, pattern: str, column: str = "text", ids: st
             words = e.words([x or "" for x in b.column(b.schema.get_field_index(column)).to_pylist()])
             made = pa.array([[i for w in x for i in e.ids[w]] for x in words], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, ids])
+        e.clear()
 
     return df.mapInArrow(released(run), schema)
 
@@ -241,16 +243,17 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.mapInArrow(released(run), schema)
 
 
-def digests(df: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
+def digests(df: DataFrame, path: str, pattern: str, column: str = "text", cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """df without the text, with n_tokens, ids_sha256 and decoded_sha256: encode() and decode() in one
-    pass, hashing each text's ids and decoded bytes piece by piece instead of shipping them."""
+    pass, hashing each text's ids and decoded bytes piece by piece instead of shipping them. A smaller cache and
+    smaller chunks take less memory and more time."""
     rest = [c for c in df.columns if c != column]
     schema = _appended(df.select(*rest), [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for b in text_chunks(batches, column):
-            words = e.words([x or "" for x in b.column(b.schema.get_field_index(column)).to_pylist()])
+        for b in text_chunks(batches, column, chunk_bytes):
+            words = e.words([x or "" for x in b.column(b.schema.get_field_index(column)).to_pylist()], cache_words)
             text, size = e.text, np.frombuffer(e.lengths, dtype=np.int32).copy() if len(e.lengths) else np.zeros(0, np.int32)
             used = {w for x in words for w in x}
             back = {w: e.decode(e.ids[w]) for w in used}
@@ -259,5 +262,6 @@ def digests(df: DataFrame, path: str, pattern: str, column: str = "text") -> Dat
             two = [hashlib.sha256(b"".join([back[w] for w in x])).hexdigest() for x in words]
             kept = [b.column(b.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(one), pa.array(two)], [*rest, "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.clear()
 
     return df.select(*rest, column).mapInArrow(released(run), schema)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that an operator works on at once in a Python worker.
 CHUNK_BYTES = 6_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1500
 #: Side of a join that may be broadcast, in rows of some tens of bytes; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,6 +51,10 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input. Rows of documents are large: unless the session says otherwise, they go
+    to Python workers in batches of BATCH_ROWS, which bounds what both sides hold."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -41,7 +41,7 @@ from lodestar.llm.components import components
 #: Part of a set by which its prefix is longer than one occurrence would ask for.
 EXTRA = 8
 #: Prefix shingles that a task packs at once.
-FLUSH = 1_000_000
+FLUSH = 400_000
 
 
 def divide_skip(lists: list[list[int]], need: int, long: int) -> dict[int, int]:
@@ -144,7 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch], key: str, text: str, size: int, per
         turn += 1
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kind, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-    for batch in text_chunks(batches, text):
+    for batch in text_chunks(batches, text, 3_000_000):
         sets, n = shingle_sets(texts_of(batch, text), size)
         ends = np.cumsum(n)
         prints = np.array([fingerprint(sets[b - k : b]) if k else 0 for b, k in zip(ends.tolist(), n.tolist(), strict=True)], dtype=np.int64)
@@ -218,7 +218,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches, text):
+    for batch in text_chunks(batches, text, 3_000_000):
         values, n = shingle_sets(texts_of(batch, text), size)
         offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
         prints = [fingerprint(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from lodestar.llm.common import Numbering, ragged, released, text_chunks, texts_of
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class LongestMatch:
@@ -192,5 +192,6 @@ def count_tokens(df: DataFrame, path: str, column: str = "text", before: bytes =
             n, m = known.counts(texts_of(b, column), before)
             kept = [b.column(b.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*rest, words, tokens])
+        known.clear()
 
     return df.select(*rest, column).mapInArrow(released(run), schema)
