@@ -59,6 +59,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """out[at[i]] += rows[i] of all i."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    out[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 class Gru:
     """One direction over time-major gate inputs of sequences sorted by falling length; ``live[t]``
     sequences are longer than t."""
@@ -149,7 +157,7 @@ class Model:
     def _features_back(self, d: np.ndarray, kept, grad: dict) -> None:
         order, live, saved, ids = kept
         p = self.p
-        np.add.at(grad["we"], ids, d[:, 2 * CHAR_STATE :])
+        _add_rows(grad["we"], ids, d[:, 2 * CHAR_STATE :])
         for k, side in enumerate("fb"):
             chars, s = saved[k]
             last = d[order, k * CHAR_STATE : (k + 1) * CHAR_STATE]
@@ -157,7 +165,7 @@ class Model:
             grad[f"cu{side}"] += du
             grad[f"cb{side}"] += db
             by_char = np.zeros((256, 3 * CHAR_STATE), np.float32)
-            np.add.at(by_char, np.concatenate(chars), np.concatenate(dx))
+            _add_rows(by_char, np.concatenate(chars), np.concatenate(dx))
             grad[f"cw{side}"] += p["ce"].T @ by_char
             grad["ce"] += by_char @ p[f"cw{side}"].T
 
@@ -222,7 +230,7 @@ class Model:
             grad[f"wu{side}"] += du
             grad[f"wb{side}"] += db
             by_word = np.zeros((len(words), 3 * STATE), np.float32)
-            np.add.at(by_word, np.concatenate(at), np.concatenate(dg))
+            _add_rows(by_word, np.concatenate(at), np.concatenate(dg))
             grad[f"ww{side}"] += x.T @ by_word
             dx += by_word @ p[f"ww{side}"].T
         self._features_back(dx, kept_words, grad)
@@ -260,8 +268,7 @@ def fit(rows: list[tuple[list[bytes], int]], seed: int = 7, epochs: int = 6) ->
         if e < rounds * 2 // 3:
             picked = [(r, s[int(k)]) for r, s in enumerate(starts) for k in rng.integers(0, len(s), 3)]
         else:
-            scored = _Scorer(model)
-            best = [scored.windows(w)[1] for w, _ in rows]
+            best = _Scorer(model).highest([w for w, _ in rows])
             picked = [(r, starts[r][b]) for r, b in enumerate(best)] * 2 + [(r, s[int(rng.integers(0, len(s)))]) for r, s in enumerate(starts) if not rows[r][1]]
         picked = [picked[i] for i in rng.permutation(len(picked))]
         for i in range(0, len(picked), 128):
@@ -292,9 +299,13 @@ class _Scorer:
                 made[k].append(x @ self.model.p[f"ww{side}"])
         self.tables = [np.concatenate([self.tables[k], *made[k]]) for k in range(2)]
 
-    def windows(self, words: list[bytes]) -> tuple[np.ndarray, int]:
-        z = self._logits([[self.number[w] for w in words]])[0]
-        return z, int(np.argmax(z)) if len(z) else 0
+    def highest(self, texts: list[list[bytes]], at_once: int = 256) -> list[int]:
+        """The number of the highest window of each text, given as words."""
+        number, out = self.number, []
+        for i in range(0, len(texts), at_once):
+            codes = [[number[w] for w in words] for words in texts[i : i + at_once]]
+            out += [int(np.argmax(z)) if len(z) else 0 for z in self._logits(codes)]
+        return out
 
     def _logits(self, texts: list[list[int]]) -> list[np.ndarray]:
         self._meet()
