@@ -45,10 +45,12 @@ def bigram_f1(spark: SparkSession, root: str) -> DataFrame:
 
 
 def wer_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Words are mapped to single characters of their own, so that the built-in distance counts words."""
-    t = _turns(spark, root).withColumn("all", F.array_distinct(F.concat("w", "v")))
-    code = lambda x: F.array_join(F.transform(x, lambda w: F.char(F.array_position("all", w) + 32)), "")
-    t = t.where(F.size("all") < 90).select("conv_id", "turn", F.size("v").alias("n"), F.levenshtein(code(F.col("w")), code(F.col("v"))).alias("d"))
+    """Words are mapped to single characters of their own (code points from 65536 on, some million), so
+    that the built-in distance counts words. A null text has no words."""
+    words = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    t = _turns(spark, root).select("conv_id", "turn", words(F.col("w")).alias("w"), words(F.col("v")).alias("v")).withColumn("all", F.array_distinct(F.concat("w", "v")))
+    code = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position("all", w) + 65535), 8, "0")), "")), "UTF-32")
+    t = t.select("conv_id", "turn", F.size("v").alias("n"), F.levenshtein(code(F.col("w")), code(F.col("v"))).alias("d"))
     return t.select("conv_id", "turn", F.col("d").cast("long").alias("edits"), F.round(F.when(F.col("n") > 0, F.col("d") / F.col("n")).otherwise((F.col("d") > 0).cast("double")), 8).alias("wer"))
 
 
