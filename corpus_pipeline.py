@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, jaccard, line_dedup, mixing, toxicity
 from lodestar.llm.common import drop, held_out, materialise, small, table
+from lodestar.llm.queries import quality_weight
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,8 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them in whole epochs, and once more where the rest of the
-    source's target takes most of them."""
-    out = mixing.mix(spark, docs.select(*COLUMNS), keep=COLUMNS)
+    source's target takes most of them; by quality where labelled, as in op9."""
+    weighed = quality_weight(spark, docs.select(*COLUMNS), sf_dir)
+    out = mixing.mix(spark, weighed, quality=F.col("weight"), keep=COLUMNS)
     times = F.col("epochs") + (2 * (F.col("taken") - F.col("epochs") * F.col("size")) > F.col("size")).cast("int")
     return out.withColumn("_n", times.cast("int")).where("_n > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_n")).select(*COLUMNS)
 

@@ -1,5 +1,6 @@
 """The training-data operators learn from, look at and return the whole input."""
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 
@@ -30,3 +31,13 @@ def test_lm_tables_count_all_training_documents(spark, monkeypatch):
     groups = pair.reshape(len(pair), attention.GROUPS, -1).sum(2)
     assert np.allclose(model.p["table"], np.log(groups / groups.sum(1, keepdims=True)), atol=1e-4)
     assert np.allclose(model.p["below"], np.log(pair.reshape(-1, attention.MEMBERS) / groups.reshape(-1, 1)), atol=1e-4)
+
+
+def test_pipeline_mix_prefers_good_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b c d", "en", "ab"[i % 2], 7) for i in range(1200)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, i // 2 % 2, 0) for i in range(1200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # of sources a and b, with weights 1 and 2, a is taken in part and b once and in part
+    n = {True: 0, False: 0}
+    for r in corpus_pipeline.mix(spark, docs, str(tmp_path)).collect():
+        n[r.doc_id // 2 % 2 == 1] += 1
+    assert sum(n.values()) == 1200 and n[True] > 1.3 * n[False]
