@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 
-from lodestar.llm import attention, lm
+from lodestar.llm import attention, ivfpq, lm
 from lodestar.llm.common import held_out
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -41,3 +41,22 @@ def test_pipeline_mix_prefers_good_documents(spark, tmp_path):
     for r in corpus_pipeline.mix(spark, docs, str(tmp_path)).collect():
         n[r.doc_id // 2 % 2 == 1] += 1
     assert sum(n.values()) == 1200 and n[True] > 1.3 * n[False]
+
+
+def test_ivf_pq_keeps_smallest_ids_of_copies_and_fills_up(spark):
+    r = np.random.default_rng(4)
+    x = {i: r.standard_normal(8) for i in range(900)}
+    copies = [i for i in range(900) if i % 9 < 4 or i % 20 == 0]
+    one = np.full(8, 2.0)
+    rows = [(i, (one if i in copies else x[i]).tolist()) for i in reversed(range(900))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for g in ivfpq.search(spark, d, "vec_id", "embedding").collect():
+        got.setdefault(g.query_id, {})[g["rank"]] = g.vec_id
+    for q in range(0, 900, 20):
+        assert [got[q][j] for j in range(1, 21)] == [i for i in copies if i != q][:20]
+    # two small clusters and a large one; 24 others for every query
+    rows = [(i, ((r.standard_normal(8) * 0.01) + np.eye(8)[min(i, 2)]).tolist()) for i in range(25)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    n = ivfpq.search(spark, d, "vec_id", "embedding", every=1, lists=3, probes=0.34).groupBy("query_id").count().collect()
+    assert sorted((a, b) for a, b in n) == [(i, 20) for i in range(25)]
