@@ -1,4 +1,4 @@
-"""Vector operators: nearest neighbours and centroids, cosine, Gram matrices."""
+"""Vector operators: inner product, centroids, nearest centroid."""
 
 from __future__ import annotations
 
