@@ -10,13 +10,16 @@ must occur on them as often as T less the number of long lists.
    only a marker, so a very common shingle is a few rows however many documents hold it. A set whose
    prefix meets too few shared shingles cannot link with anything and leaves.
 2. For the rest, exact list lengths order each set from rare to frequent; sets with fewer than T
-   shared shingles leave. The first |R|-T+1 lists are the short ones (one occurrence is required).
-3. The merge of short lists (a sort-merge by shingle) first pairs each set only with the smallest set
-   of its list; verified links give components. Then the remaining pairs of different components are
-   merged: a list's sets outside its largest component, against the list. Pairs within a component
-   never arise, so a group of m near copies costs m, not m * m.
-4. A candidate is verified by binary probes of one set's long lists in the other, and retained when
-   the occurrences reach T.
+   shared shingles leave. Sets of equal size and equal shared shingles have the same links and go on
+   as one class.
+3. Two sets that link share one of the |R|-T+1 rarest shingles of each; components over these lists
+   are buckets, outside which nothing links. A bucket of more than ``UNIT_SHINGLES`` shingles is cut
+   into blocks by hash, and each pair of blocks is a unit of work.
+4. In a unit, every set searches an inverted index of the sets that none has reached yet: short lists
+   are merged through a heap that skips by bisection, for candidates on at least T less the number of
+   long lists; the long lists are then probed by bisection, and sets that reach the overlap leave the
+   index. A group of m like sets is reached by a few searches; the links that come out are a star a
+   component, never all pairs.
 
 Equal sets are one set throughout (64-bit fingerprints). Null and empty texts have no shingles and
 link with nothing; rows with a null key get their n_shingles and no component; repeated rows and keys
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import drop, materialise, mix64, Numbering, ragged, released, small, text_chunks, texts_of
@@ -42,28 +45,105 @@ from lodestar.llm.components import components
 EXTRA = 8
 #: Prefix shingles that a task packs at once.
 FLUSH = 400_000
-
-
-def divide_skip(lists: list[list[int]], need: int, long: int) -> dict[int, int]:
-    """Ids that occur on at least ``need`` of the sorted lists, with their counts: the ``long``
-    longest lists are probed by bisection, the others merged through a heap."""
-    lists = sorted(lists, key=len)
-    cut = max(0, len(lists) - min(long, max(0, need - 1)))
-    short, probed = lists[:cut], lists[cut:]
-    out, merged = {}, heapq.merge(*short)
-    at, n = None, 0
-    for x in [*merged, None]:
-        if x == at:
-            n += 1
-            continue
-        if at is not None and n + len(probed) >= need:
-            for p in probed:
-                k = bisect_left(p, at)
-                n += k < len(p) and p[k] == at
-            if n >= need:
-                out[at] = n
-        at, n = x, 1
-    return out
+#: Weight of a list's length when lists are divided into long and short.
+MU = 0.0085
+#: Shared shingles of a block of sets; two blocks are searched at once.
+UNIT_SHINGLES = 1_000_000
+#: Parts into which the sets of a component are dealt.
+SALTS = 16
+
+
+def merge_skip(lists: list[list[int]], need: int) -> tuple[list[int], list[int]]:
+    """Ids that occur on at least ``need`` of the sorted lists, and their counts: a heap of the lists'
+    heads; where the smallest head occurs too seldom, need - 1 heads are taken off and skip by
+    bisection to the next head left."""
+    place = [0] * len(lists)
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    ids, counts = [], []
+    while len(heap) >= need:
+        top, off = heap[0][0], []
+        while heap and heap[0][0] == top:
+            off.append(heapq.heappop(heap)[1])
+        if len(off) >= need:
+            ids.append(top)
+            counts.append(len(off))
+            for i in off:
+                place[i] += 1
+        else:
+            while heap and len(off) < need - 1:
+                off.append(heapq.heappop(heap)[1])
+            if not heap:
+                break
+            to = heap[0][0]
+            for i in off:
+                place[i] = bisect_left(lists[i], to, place[i])
+        for i in off:
+            if place[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][place[i]], i))
+    return ids, counts
+
+
+def divide(count: int, need: int, longest: int) -> int:
+    """How many of ``count`` lists are long, and probed instead of merged, when ``need`` occurrences are
+    asked for: more of them the shorter the longest list is."""
+    return min(count - 1, need - 1, int(need / (MU * np.log2(max(longest, 2)) + 1)))
+
+
+class Unit:
+    """Sets with an inverted index of those not yet reached, searched by DivideSkip."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, n: np.ndarray, percent: int):
+        self.n, self.percent, self.base = n, percent, np.cumsum(lengths) - lengths
+        self.lengths, self.owner = lengths, np.repeat(np.arange(len(n)), lengths)
+        self.tokens, self.codes = np.unique(values, return_inverse=True)
+        self.left = np.ones(len(n), dtype=bool)
+        self.merged = 0
+        self._index()
+
+    def _index(self) -> None:
+        kept = self.left[self.owner]
+        codes, owner = self.codes[kept], self.owner[kept]
+        self.who = owner[np.argsort(codes, kind="stable")]
+        self.cut = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(self.tokens)))]
+        self.indexed = int(self.left.sum())
+
+    def search(self, r: int) -> np.ndarray:
+        """The sets not yet reached that link with set r."""
+        codes = self.codes[self.base[r] : self.base[r] + self.lengths[r]]
+        size = self.cut[codes + 1] - self.cut[codes]
+        codes, size = codes[size > 0], size[size > 0]
+        need = int(_required(self.n[r], self.percent))
+        if len(codes) < need:
+            return np.zeros(0, dtype=np.int64)
+        codes = codes[np.argsort(size, kind="stable")]
+        lists = [self.who[self.cut[c] : self.cut[c + 1]] for c in codes.tolist()]
+        long = divide(len(lists), need, int(size.max()))
+        short = [x.tolist() for x in lists[: len(lists) - long]]
+        self.merged += sum(map(len, short))
+        ids, both = (np.array(x, dtype=np.int64) for x in merge_skip(short, need - long))
+        alive = self.left[ids]
+        ids, both = ids[alive], both[alive]
+        for x in lists[len(lists) - long :] if len(ids) else ():
+            at = np.minimum(np.searchsorted(x, ids), len(x) - 1)
+            both += x[at] == ids
+        return ids[100 * both >= self.percent * (self.n[r] + self.n[ids] - both)]
+
+    def components(self) -> np.ndarray:
+        """The component of each set: a search goes out from every set once, against those that none
+        has reached, so that a group of like sets leaves the index after a few searches."""
+        comp = np.full(len(self.n), -1, dtype=np.int64)
+        for first in range(len(self.n)):
+            if not self.left[first]:
+                continue
+            self.left[first], comp[first], front = False, first, [first]
+            while front and self.indexed:
+                found = self.search(front.pop())
+                self.left[found], comp[found] = False, first
+                front += found.tolist()
+                if 2 * int(self.left.sum()) < self.indexed:
+                    self._index()
+        return comp
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,27 +305,29 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["print", "n", "shingles"])
 
 
-def _probe(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links among candidate pairs: shingles of the smaller set, probed in the other by bisection."""
+def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, unit, print, n, shingles), sorted by unit: links (a, b), a star for each component
+    of a unit."""
+    now, prints, n, parts = None, [], [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(prints) > 1:
+            ids = np.array(prints, dtype=np.int64)
+            comp = Unit(np.concatenate(parts), np.array([len(x) for x in parts]), np.array(n, dtype=np.int64), percent).components()
+            at = np.flatnonzero(comp != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[comp[at]]), pa.array(ids[at])], ["a", "b"])
+
     for batch in batches:
-        a, b, na, nb = (batch.column(i).to_pylist() for i in range(4))
-        keep = []
-        for i in range(batch.num_rows):
-            x, y = batch.column(4)[i].values.to_numpy(), np.sort(batch.column(5)[i].values.to_numpy())
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            if 100 * both >= percent * (na[i] + nb[i] - both):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link; sets holds print, n and the shared shingles."""
-    left = sets.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-    return joined.mapInArrow(released(lambda it: _probe(it, percent)), "a long, b long")
+        shingles = batch.column(4)
+        flat, ends = shingles.flatten().to_numpy(), np.r_[0, np.cumsum(shingles.value_lengths().to_numpy())]
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if key != now:
+                yield from close()
+                now, prints, n, parts = key, [], [], []
+            prints.append(batch.column(2)[i].as_py())
+            n.append(batch.column(3)[i].as_py())
+            parts.append(flat[ends[i] : ends[i + 1]].copy())
+    yield from close()
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -270,43 +352,50 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id"
     shared = each.join(often, "shingle").groupBy("print").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     shared = shared.where(F.size("s") >= need(F.col("n"))).select("print", "n", F.col("s.shingle").alias("shingles"))
     shared, p_shared = materialise(spark, shared, "jaccard-shared")
-    links = _links(spark, shared, need, percent)
-    links, p_links = materialise(spark, links, "jaccard-links")
-    comps = components(spark, links)
+    links, p_links = materialise(spark, _links(spark, shared, percent), "jaccard-links")
+    comps = components(spark, links).withColumnRenamed("node", "print")
     least = rows.where("doc is not null and print is not null").groupBy("print").agg(F.min("doc").alias("least"))
-    of = least.join(comps.withColumnRenamed("node", "print"), "print", "left").withColumn("comp", F.coalesce("comp", "print"))
-    groups = of.groupBy("comp").agg(F.min("least").alias("component"))
-    of = of.join(groups, "comp").select("print", "component")
+    linked, p_linked = materialise(spark, comps.join(least, "print"), "jaccard-linked")
+    # a component may hold a third of all sets: both sides are salted
+    salt = F.pmod(F.xxhash64("print"), F.lit(SALTS)).alias("salt")
+    groups = linked.groupBy("comp").agg(F.min("least").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    of = least.join(linked.select("print", "comp", salt).join(groups, ["comp", "salt"]).select("print", "component"), "print", "left").select("print", F.coalesce("component", "least").alias("component"))
     # rows of one set are many where a text has many copies; the other side has one row for each set
     out = rows.join(of, "print", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
     out, _ = materialise(spark, out, "jaccard-result")
-    drop(spark, p_facts, p_some, p_sets, p_shared, p_links)
+    drop(spark, p_facts, p_some, p_sets, p_shared, p_links, p_linked)
     return out
 
 
-def _links(spark: SparkSession, sets: DataFrame, need, percent: int) -> DataFrame:
-    """Verified links that have the components of all links."""
-    missing: Column = F.col("n") - F.size("shingles")
-    lists = sets.select("print", "n", missing.alias("before"), F.posexplode(F.expr("slice(shingles, 1, greatest(0, cast(n - ceil(n * %d / 100D) + 1 - (n - size(shingles)) as int)))" % percent)).alias("i", "shingle"))
-    # sizes of one class are within the ratio of two sets that link
-    lists = lists.select("print", "n", (F.col("before") + F.col("i")).alias("at"), "shingle", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int").alias("class"))
+def _links(spark: SparkSession, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) that have the components of all links. sets: print, n and the shared
+    shingles from rare to frequent."""
+    same = [F.col("n"), F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(1), "shingles").alias("h2")]
+    sets, p_hashed = materialise(spark, sets.select("print", "shingles", *same), "jaccard-hashed")
+    classes = sets.groupBy("n", "h1", "h2").agg(F.min("print").alias("rep"), F.count("*").alias("members"))
+    members = sets.join(classes.where("members > 1"), ["n", "h1", "h2"]).select("rep", "print", "n", F.size("shingles").alias("shared"))
+    members, p_members = materialise(spark, members, "jaccard-members")
+    sets = sets.join(members.where("rep <> print").select("print"), "print", "left_anti").select("print", "n", "shingles")
+    sets, p_sets = materialise(spark, sets, "jaccard-classes")
+    # sets that link share a shingle among the size - T + 1 rarest of both: such lists join them to buckets
+    lists = sets.select("print", F.explode(F.expr(f"slice(shingles, 1, greatest(0, cast(size(shingles) - ceil(n * {percent} / 100D) + 1 as int)))")).alias("shingle"))
     lists, p_lists = materialise(spark, lists, "jaccard-lists")
-    anchors = lists.groupBy("shingle", "class").agg(F.min("print").alias("a"))
-    pairs = lists.join(anchors, ["shingle", "class"]).where("print <> a").select("a", F.col("print").alias("b")).distinct()
-    first, p_first = materialise(spark, _verified(pairs, sets, percent), "jaccard-first")
-    comps = components(spark, first).withColumnRenamed("node", "print")
-    lists2 = lists.join(comps, "print", "left").withColumn("comp", F.coalesce("comp", "print")).select("shingle", "print", "n", "at", "comp")
-    sizes = lists2.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("shingle", F.col("top.comp").alias("largest"))
-    open_, p_open = materialise(spark, lists2.join(sizes, "shingle"), "jaccard-open")
-    x = open_.where("comp <> largest").select("shingle", F.col("print").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("comp").alias("ca"))
-    y = open_.select("shingle", F.col("print").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("comp").alias("cb"), "largest")
-    # two sets outside the largest component meet once; at their first common shingle, at most what
-    # follows in both can still be shared
-    once = (F.col("cb") == F.col("largest")) | (F.col("a") < F.col("b"))
-    reach = F.lit(100 + percent) * (F.lit(1) + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)) >= F.lit(percent) * (F.col("na") + F.col("nb"))
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    pairs = x.join(y, "shingle").where((F.col("ca") != F.col("cb")) & once & near & reach).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second, p_second = materialise(spark, _verified(pairs, sets, percent), "jaccard-second")
-    out, _ = materialise(spark, first.union(second), "jaccard-both")
-    drop(spark, p_lists, p_first, p_open, p_second)
+    firsts = lists.groupBy("shingle").agg(F.min("print").alias("a"), F.count("*").alias("k")).where("k > 1").select("shingle", "a")
+    near = lists.join(firsts, "shingle").where("print <> a").select("a", F.col("print").alias("b")).distinct()
+    buckets = components(spark, near).select(F.col("node").alias("print"), F.col("comp").alias("bucket"))
+    dealt, p_dealt = materialise(spark, sets.join(buckets, "print"), "jaccard-buckets")
+    large = dealt.groupBy("bucket").agg(F.ceil(F.sum(F.size("shingles")) / UNIT_SHINGLES).cast("long").alias("k")).where("k > 1")
+    large, p_large = materialise(spark, large, "jaccard-large")
+    # a large bucket is k blocks; each pair of its blocks is a unit
+    dealt = dealt.join(small(large, large.count()), "bucket", "left").withColumn("i", F.pmod(F.xxhash64("print"), F.coalesce("k", F.lit(1))))
+    units = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: j != F.col("i")), lambda j: F.least("i", j) * F.col("k") + F.greatest("i", j)))
+    dealt = dealt.select("bucket", F.explode(units).alias("unit"), "print", "n", "shingles")
+    found = dealt.repartition("bucket", "unit").sortWithinPartitions("bucket", "unit", "print").mapInArrow(released(lambda it: _search(it, percent)), "a long, b long")
+    found, p_found = materialise(spark, found, "jaccard-found")
+    # members of a class link with each other, or through whatever their class links with
+    ends = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct().withColumn("linked", F.lit(True))
+    self_linked = F.col("shared") * 100 >= F.lit(percent) * (2 * F.col("n") - F.col("shared"))
+    inner = members.where("rep <> print").join(ends, "rep", "left").where(self_linked | F.col("linked")).select(F.col("rep").alias("a"), F.col("print").alias("b"))
+    out, _ = materialise(spark, found.union(inner), "jaccard-both")
+    drop(spark, p_hashed, p_members, p_sets, p_lists, p_dealt, p_large, p_found)
     return out

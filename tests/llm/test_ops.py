@@ -68,13 +68,40 @@ def test_token_counts_match_greedy(docs, none):
     assert token_counts.LongestMatch([b"un", b"##a", b"##able", b"able", b"##ble"], b"##").lengths([b"unable", b"unaable", b"unx", b""]).tolist() == [2, 3, 1, 0]
 
 
-def test_divide_skip_matches_counting():
+def test_merge_skip_matches_counting():
     r = random.Random(3)
-    for _ in range(200):
+    for _ in range(300):
         lists = [sorted(r.sample(range(30), r.randint(0, 20))) for _ in range(6)]
-        need, long = r.randint(1, 5), r.randint(0, 5)
-        want = {x: n for x in range(30) if (n := sum(x in v for v in lists)) >= need}
-        assert jaccard.divide_skip(lists, need, long) == want
+        need = r.randint(1, 5)
+        want = [(x, n) for x in range(30) if (n := sum(x in v for v in lists)) >= need]
+        assert list(zip(*jaccard.merge_skip(lists, need), strict=True)) == want
+
+
+def _unit(sets, percent=75):
+    return jaccard.Unit(np.concatenate([np.array(sorted(x), dtype=np.int64) for x in sets]), np.array([len(x) for x in sets]), np.array([len(x) for x in sets]), percent)
+
+
+def test_divide_skip_search_matches_brute_force():
+    r = random.Random(8)
+    base = [r.sample(range(400), r.choice((4, 20, 60))) for _ in range(12)]
+    sets = [{x if r.random() > p else r.randrange(400) for x in r.choice(base)} for p in (0, 0.03, 0.1) for _ in range(80)]
+    for i in range(len(sets)):
+        u = _unit(sets)
+        u.left[i] = False
+        want = [j for j in range(len(sets)) if j != i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        assert u.search(i).tolist() == want
+
+
+def test_search_of_a_group_of_near_copies_grows_with_the_group():
+    r = random.Random(9)
+
+    def merged(m):
+        base = list(range(150))
+        u = _unit([{x if r.random() > 0.06 else r.randrange(150, 190) for x in base} for _ in range(m)])
+        assert len(set(u.components().tolist())) < m // 2
+        return u.merged
+
+    assert merged(1600) < 6 * merged(400)
 
 
 def test_jaccard_components_match_brute_force(spark, docs, none):
