@@ -22,7 +22,7 @@ CHUNK_BYTES = 6_000_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1500
 #: Side of a join that may be broadcast, in rows of some tens of bytes; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:

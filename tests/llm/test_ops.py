@@ -147,6 +147,64 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup(spark, docs).count() == len(TEXTS) and line_dedup.dedup(spark, none).count() == 0
 
 
+def _near(a, b):
+    """Within one edit, read off directly."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
+def _plain_dedup(texts, least):
+    """What is left of each text, by comparing all lines."""
+    places = [(d, n, x) for d, t in enumerate(texts) if t for n, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")]
+    lines = list(dict.fromkeys(x for *_, x in places))
+    comp = {x: x for x in lines}
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, x in enumerate(lines):
+        for y in lines[:i]:
+            if min(len(x), len(y)) >= least and _near(x, y):
+                comp[root(x)] = root(y)
+    seen, gone = set(), set()
+    for d, n, x in places:
+        if root(x) in seen:
+            gone.add((d, n))
+        seen.add(root(x))
+    return [t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in enumerate(texts)]
+
+
+def test_line_dedup_matches_brute_force(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 7)))
+    base = [" ".join(word() for _ in range(r.choice((7, 9, 14)))) for _ in range(25)]
+    lines = base + [f"2024-01-01 00:00:00 INFO request {r.randrange(10**5):05d} served in {r.randrange(60)} ms by the main node" for _ in range(250)]
+
+    def edited(x):
+        x = list(x)
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            i = r.randrange(len(x))
+            x[i : i + 1] = r.choice(([], ["q"], [x[i], "q"]))
+        return "".join(x)
+
+    texts = ["\n".join(edited(r.choice(lines)) for _ in range(r.randint(0, 12))) for _ in range(90)] + [None, "", "\n\n"]
+    got = {x.doc_id: x.text for x in line_dedup.dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == _plain_dedup(texts, line_dedup.LEAST)
+
+
+def test_line_dedup_edges(spark):
+    long = "a line of more than thirty-two characters"
+    d = spark.createDataFrame([(None, long, 1), (1, long, 2), (1, long, 3), (2, f"{long}\nother", 4)], "doc_id long, text string, extra int")
+    got = {x.extra: (x.text, x.n_lines, x.n_dropped) for x in line_dedup.dedup(spark, d).collect()}
+    assert got == {1: ("", 1, 1), 2: (long, 1, 0), 3: (long, 1, 0), 4: ("other", 2, 1)}
+    with pytest.raises(ValueError):
+        line_dedup.dedup(spark, d.withColumnRenamed("extra", "n_lines"))
+
+
 def test_mixing(spark, docs, none):
     rows = [(i, "a" if i % 3 else "b" if i % 2 else None, "w " * (i % 7)) for i in range(300)]
     got = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
