@@ -27,10 +27,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one of the smallest id stays."""
-    groups = jaccard.jaccard_components(spark, docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(small(gone, gone.count()), "doc_id", "left_anti")
+    """Of each group of near-duplicate rows the one of the smallest id stays (a null id counts as the
+    largest). Rows are told apart by id and text, so one that shares an id with a duplicate is judged
+    by its own text; rows without words stay, repeated or not."""
+    docs = docs.select(*COLUMNS, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("_row"))
+    found = jaccard.jaccard_components(spark, docs.select("_row", "text"), key="_row")
+    groups = found.where("n_shingles > 0").groupBy("_row").agg(F.min("component_id").alias("group"), F.count("*").alias("rows"))
+    rows, p_rows = materialise(spark, groups.where((F.col("group") != F.col("_row")) | (F.col("rows") > 1)), "near-rows")
+    # whoever is in a group of several: all its rows but the kept one go, and the kept one stays once
+    several, p_several = materialise(spark, rows.select("group").union(rows.select("_row")).distinct().withColumnRenamed("group", "_row"), "near-several")
+    ids = docs.select("_row", "doc_id").join(small(several, several.count()), "_row", "left_semi").distinct()
+    of = ids.join(groups.select("_row", "group"), "_row")
+    kept = of.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
+    kept, p_kept = materialise(spark, kept.distinct(), "near-kept")
+    n = several.count()
+    alone = docs.join(small(several, n), "_row", "left_anti").select(*COLUMNS)
+    once = docs.join(small(kept, n), "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
+    out, _ = materialise(spark, alone.unionByName(once), "near-result")
+    drop(spark, p_rows, p_several, p_kept)
+    return out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
