@@ -4,7 +4,9 @@ All distinct pre-tokens of a block of documents lie in one symbol array. An inve
 merge rank to the positions whose pair has it; ranks are replayed in order through a heap, each
 applied to all of its positions at once, and only the neighbours of a merged pair are looked up anew.
 
-Nulls and empty texts give no tokens. Repeated rows are encoded like any others; extra columns stay.
+Nulls and empty texts give no tokens. Very long texts are read whole, each a block of its own; repeated
+rows are encoded like any others; extra columns stay, clashing ones raise ValueError; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,16 +46,16 @@ class MergeTable:
         self.pieces = {r: b for b, r in ranks.items()}
         self.bytes_to_id = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.width = np.int64(max(ranks.values()) + 1)
-        keys, to = [], []
+        keys, to = array("q"), array("i")
         for piece, r in ranks.items():
             for cut in range(1, len(piece)):
                 a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if a is not None and b is not None:
                     keys.append(a * int(self.width) + b)
                     to.append(r)
-        order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-        self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
-        self.to = np.append(np.array(to, dtype=np.int32)[order], NONE)
+        order = np.argsort(np.frombuffer(keys, dtype=np.int64), kind="stable")
+        self.keys = np.append(np.frombuffer(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
+        self.to = np.append(np.frombuffer(to, dtype=np.int32)[order], NONE)
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each joined pair, NONE where there is none."""

@@ -10,9 +10,11 @@ key): first on random windows under their text's label, then on the window that
 each text. Scoring reads every whole text. Words are runs of letters and digits, A-Z lower-cased;
 those over ``PIECE`` bytes are read in pieces.
 
-Nulls and texts without words score 0. Rows with a null label are not learned from; of repeated
-labels the highest counts; without both classes in the sample every score is 0. Repeated rows are
-scored like any others; extra columns stay.
+Nulls and texts without words score 0; of very long texts every window counts. Rows with a null label
+are not learned from; of repeated labels the highest counts, of several texts of a sampled key the one
+of the least hash; without both classes in the sample every score is 0. Repeated rows are scored like
+any others; extra columns stay, and one that clashes with the score raises ValueError; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ from lodestar.llm.common import Numbering, released, text_chunks, texts_of
 
 #: Labelled rows that training uses at most: toxic ones, others.
 SAMPLE = (1000, 1500)
-#: Words of a sampled text that training uses at most, as windows spread evenly over it.
-SAMPLE_WORDS = 2048
 WINDOW, STRIDE, PIECE = 32, 16, 24
 VOCABULARY, EMBED, CHAR_EMBED, CHAR_STATE, STATE = 8000, 12, 8, 12, 12
 CACHE_WORDS = 80_000
@@ -341,22 +341,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # at most sum(sample) rows
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches, text):
-            made = []
-            for x in texts_of(b, text):
-                w = words_of(x)
-                if len(w) > SAMPLE_WORDS:
-                    parts = np.linspace(0, len(w) - WINDOW, SAMPLE_WORDS // WINDOW).astype(int)
-                    w = [v for s in parts for v in w[s : s + WINDOW]]
-                made.append(b" ".join(w))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)), pa.array(made, pa.binary()), b.column(b.schema.get_field_index("y"))], ["k", "words", "y"])
-
-    joined = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), key)
-    kind = dict(docs.dtypes)[key]
-    rows = joined.select(key, text, "y").mapInArrow(released(cut), f"k {kind}, words binary, y int").collect()
-    rows.sort(key=lambda r: (r["k"], bytes(r["words"])))
-    return fit([(bytes(r["words"]).split(b" ") if r["words"] else [], r["y"]) for r in rows])
+    # one text of each sampled key, so that a repeated key does not multiply what is collected
+    joined = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen.withColumnRenamed(key, "k")), "k")
+    rows = joined.groupBy("k").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.max("y").alias("y")).collect()
+    return fit([(words_of(r["t"].encode()), r["y"]) for r in sorted(rows, key=lambda r: r["k"])])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:

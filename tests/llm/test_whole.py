@@ -14,7 +14,6 @@ def test_lm_tables_count_all_training_documents(spark, monkeypatch):
     texts = [f"Once upon a time word{i % 7} met word{i % 5} by the river " * (i % 4) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(lm, "SAMPLE_DOCS", 2)
-    monkeypatch.setattr(lm, "SAMPLE_WORDS", 4)
     monkeypatch.setattr(lm, "STEPS", 3)
     made, fit = [], attention.fit
     monkeypatch.setattr(attention, "fit", lambda *a: made.append(fit(*a)) or made[-1])
