@@ -21,8 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 6_000_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1500
-#: Side of a join that may be broadcast, in rows of some tens of bytes; larger sides are shuffled.
-BROADCAST_ROWS = 250_000
+#: Side of a join that may be broadcast, in rows of some tens of bytes (so 50 MB or so); larger sides
+#: are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, html_extract, ivfpq, jaccard, line_dedup, lm, mixing, mtree, token_counts, toxicity
-from lodestar.llm.common import held_out, table
+from lodestar.llm.common import held_out, small, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with a column weight: 2 for documents labelled as good, 0.5 as bad, else 1."""
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.join(labels, "doc_id", "left").withColumn("weight", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)).drop("quality")
+    """docs with a column weight: 2 for documents labelled as good, 0.5 as bad, else 1. The labels are
+    counted first, so that texts are not shuffled where the labels are few."""
+    labels = table(spark, sf_dir, "labels")
+    rows = labels.count()
+    labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return docs.join(small(labels, rows), "doc_id", "left").withColumn("weight", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)).drop("quality")
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
