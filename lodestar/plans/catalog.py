@@ -12,6 +12,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.plans import rules
 from lodestar.sources.tables import TABLES, views
 
 _SPARK = {
@@ -27,6 +28,18 @@ _SPARK = {
     "two": "array($, $ - 1)",
     "last": "last_value($) IGNORE NULLS",
     "digits": "regexp_replace($, '[0-9]+', '#')",
+    "re": "regexp_like($)",
+    "rx": "regexp_extract($)",
+    "sub": "regexp_replace($)",
+    "json": "get_json_object($)",
+    "raise": "CAST(raise_error($) AS STRING)",
+    "gid": "grouping_id($)",
+    "set": "array_join(sort_array(collect_set($)), ',')",
+    "ids": "array_join(transform(sort_array(collect_list($)), x -> CAST(x AS STRING)), ',')",
+    "pair2": "array($)",
+    "lines": "split($, chr(10))",
+    "uniq": "array_distinct($)",
+    "nonempty": "nullif($, '')",
 }
 _DUCK = {
     "unnest": "unnest($)",
@@ -41,6 +54,18 @@ _DUCK = {
     "two": "[$, $ - 1]",
     "last": "last_value($ IGNORE NULLS)",
     "digits": "regexp_replace($, '[0-9]+', '#', 'g')",
+    "re": "regexp_matches($)",
+    "rx": "regexp_extract($)",
+    "sub": "regexp_replace($, 'g')",
+    "json": "json_extract_string($)",
+    "raise": "error($)",
+    "gid": "grouping($)",
+    "set": "array_to_string(list_sort(list(DISTINCT $)), ',')",
+    "ids": "array_to_string(list_sort(list($)), ',')",
+    "pair2": "[$]",
+    "lines": "string_split($, chr(10))",
+    "uniq": "list_distinct($)",
+    "nonempty": "nullif($, '')",
 }
 
 
@@ -155,6 +180,8 @@ SQL: dict[str, str] = {
     "pk_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "monotone_ts": "SELECT count(*) AS backward FROM (SELECT ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) t WHERE ts < before",
 }
+SQL |= rules.SQL
+
 
 def spark_sql(name: str) -> str:
     return _written(SQL[name].replace("@range", "(SELECT id AS b FROM range(0, 200))"), _SPARK)
