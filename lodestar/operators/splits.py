@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import hash_fold, normalised
 from lodestar.operators import graph
+from lodestar.operators.contain import contained
 
 
-def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, group_id: documents linked by equal text or equal normalised text."""
-    keys = docs.select(F.col("doc_id").alias("node"), F.explode(F.array(F.sha2("text", 256), F.sha2(normalised(F.col("text")), 256))).alias("key"))
-    return graph.by_shared_keys(spark, docs.select(F.col("doc_id").alias("node")), keys).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, group_id: the least id among documents of equal normalised text (and so of equal text)."""
+    keyed = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("group_id")), "key").select("doc_id", "group_id")
 
 
-def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, item_id pairs where the document holds the passage as it stands. The held-out register
-    is small by nature and broadcast only within Spark's own bound; the scan streams past it."""
-    return docs.join(passages.select("item_id", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")
+def linked(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, group_id: components of documents that share a text, a normalised text, or both."""
+    keys = docs.select(F.col("doc_id").alias("node"), F.explode(F.array(F.sha2("text", 256), F.sha2(normalised(F.col("text")), 256))).alias("key"))
+    return graph.by_shared_keys(spark, docs.select(F.col("doc_id").alias("node")), keys).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
 def allocate(units: DataFrame, id_: str, stratum: str, ratios: dict[str, float], seed: str) -> DataFrame:
@@ -43,7 +44,7 @@ def allocate(units: DataFrame, id_: str, stratum: str, ratios: dict[str, float],
 def split(spark: SparkSession, docs: DataFrame, passages: DataFrame, seed: str = "seed") -> DataFrame:
     """doc_id, group_id, partition, reason: groups that touch a held-out passage are excluded whole;
     the others are allocated 60/20/20 by their smallest language."""
-    of = groups(spark, docs)
+    of = groups(docs)
     hit = contained(docs, passages).select("doc_id").distinct().withColumn("hit", F.lit(True))
     rows = docs.select("doc_id", "lang").join(of, "doc_id").join(hit, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     units = rows.groupBy("group_id").agg(F.min("lang").alias("stratum"), F.count("*").alias("size"), F.count_if("hit").alias("hits"))

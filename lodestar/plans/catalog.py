@@ -40,6 +40,8 @@ _SPARK = {
     "lines": "split($, chr(10))",
     "uniq": "array_distinct($)",
     "nonempty": "nullif($, '')",
+    "longer": "filter($, x -> length(x) > 5)",
+    "grams": "transform(sequence(1, greatest(size($) - 4, 1)), i -> array_join(slice($, i, 5), ' '))",
 }
 _DUCK = {
     "unnest": "unnest($)",
@@ -66,6 +68,8 @@ _DUCK = {
     "lines": "string_split($, chr(10))",
     "uniq": "list_distinct($)",
     "nonempty": "nullif($, '')",
+    "longer": "[x FOR x IN $ IF length(x) > 5]",
+    "grams": "[array_to_string(($)[i : i + 4], ' ') FOR i IN generate_series(1, greatest(len($) - 4, 1))]",
 }
 
 
@@ -89,7 +93,7 @@ SQL: dict[str, str] = {
     "join_right_nation": "SELECT s.s_suppkey, n.n_name FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey",
     "join_full_keys": "SELECT c.c_nationkey AS customer_nation, s.s_nationkey AS supplier_nation, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) c FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey) s ON c.c_nationkey = s.s_nationkey",
     "join_semi_customers_with_orders": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "join_anti_customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti_customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "join_cross_region_segment": "SELECT r_name, s.c_mktsegment FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s",
     "join_theta_price_band": "SELECT b.band, count(*) AS parts FROM part JOIN (SELECT * FROM (VALUES ('low', 0, 1000), ('mid', 1000, 1500), ('high', 1500, 1000000)) AS t(band, lo, hi)) b ON p_retailprice >= b.lo AND p_retailprice < b.hi GROUP BY b.band",
     "join_range_ship_window": "SELECT o_orderkey, count(*) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL '30' DAY GROUP BY o_orderkey",
@@ -106,7 +110,7 @@ SQL: dict[str, str] = {
     "agg_filter_clause": "SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars > 2000) AS longer FROM documents GROUP BY lang",
     "agg_percentile": "SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90 FROM events GROUP BY event_type",
     "agg_stddev_regr": "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_tax), 8) AS var, round(corr(l_quantity, l_extendedprice), 6) AS cor, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY l_returnflag",
-    "agg_min_max_by": "SELECT o_custkey, max(o_totalprice) AS most, min(o_orderdate) AS first_day FROM orders GROUP BY o_custkey",
+    "agg_min_max_by": "SELECT o_custkey, max_by(o_orderkey, round(o_totalprice * 100) * 10000000 + o_orderkey) AS dearest, min_by(o_orderkey, round(o_totalprice * 100) * 10000000 + o_orderkey) AS cheapest FROM orders GROUP BY o_custkey",
     # windows and order
     "win_row_number": "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM orders",
     "win_rank_dense": "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS dr FROM part",
@@ -123,7 +127,7 @@ SQL: dict[str, str] = {
     "set_union_all": "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region",
     "set_union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_intersect": "SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'",
-    "set_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem",
+    "set_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48",
     "pivot_status": "SELECT o_orderpriority, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS f, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS o, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS p FROM orders GROUP BY o_orderpriority",
     "unpivot_amounts": "SELECT l_orderkey, l_linenumber, 'discount' AS kind, l_discount AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'tax', l_tax FROM lineitem",
     "subquery_scalar": "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) * 1.5 FROM customer)",
@@ -134,13 +138,13 @@ SQL: dict[str, str] = {
     "fn_regex": "SELECT page_id, @digits(url) AS shape, CASE WHEN url LIKE 'https%' THEN 1 ELSE 0 END AS secure FROM pages",
     "fn_date": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, @day(o_orderdate) AS d FROM orders",
     "fn_math": "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 6) AS root, round(ln(l_extendedprice), 6) AS log_price, CAST(floor(l_extendedprice) AS BIGINT) AS low, abs(l_discount - l_tax) AS gap FROM lineitem",
-    "fn_array_hof": "SELECT doc_id, CAST(@len(@tok(text)) AS BIGINT) AS words FROM documents",
-    "fn_json": "SELECT event_id, props FROM events WHERE props IS NOT NULL",
+    "fn_array_hof": "SELECT doc_id, CAST(@len(@longer(@tok(text))) AS BIGINT) AS long_words, CAST(@len(@uniq(@tok(text))) AS BIGINT) AS types FROM documents",
+    "fn_json": "SELECT event_id, CAST(@json(props, '$.k') AS BIGINT) AS k, CASE WHEN @json(props, '$.none') IS NULL THEN 1 ELSE 0 END AS absent FROM events WHERE props IS NOT NULL",
     # text
     "word_counts": "SELECT w, count(*) AS n FROM documents, @unnest(@tok(text)) AS t(w) GROUP BY w",
     "vocab_by_lang": "SELECT lang, count(*) AS tokens, count(DISTINCT w) AS types FROM documents, @unnest(@tok(text)) AS t(w) GROUP BY lang",
     "normalize_compare": "SELECT doc_id, @sha(@join(@tok(text))) AS norm FROM documents",
-    "normalization_collisions": "SELECT norm, count(DISTINCT text) AS texts, min(doc_id) AS first_id FROM (SELECT doc_id, text, @sha(@join(@tok(text))) AS norm FROM documents) t GROUP BY norm HAVING count(DISTINCT text) > 1",
+    "normalization_collisions": "SELECT norm, count(DISTINCT line) AS forms, min(line) AS first_form FROM (SELECT line, @sha(@join(@tok(line))) AS norm FROM documents, @unnest(@lines(text)) AS t(line)) x GROUP BY norm HAVING count(DISTINCT line) > 1",
     "abstention_flags": "SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' OR lower(trim(text)) IN ('n/a', 'unknown', '[?]', 'none') THEN 1 ELSE 0 END AS abstains FROM conversations",
     "repetition_flags": "SELECT doc_id, max(n) AS most, count(*) AS types, sum(n) AS tokens FROM (SELECT doc_id, w, CAST(count(*) AS BIGINT) AS n FROM documents, @unnest(@tok(text)) AS t(w) GROUP BY doc_id, w) x GROUP BY doc_id".replace("sum(n)", "CAST(sum(n) AS BIGINT)"),
     "word_multiset_f1_turns": "WITH c AS (SELECT conv_id, turn, w, count(*) AS n FROM conversations, @unnest(@tok(text)) AS t(w) GROUP BY conv_id, turn, w), s AS (SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY conv_id, turn), o AS (SELECT a.conv_id, a.turn, CAST(sum(least(a.n, b.n)) AS BIGINT) AS common FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.w = a.w GROUP BY a.conv_id, a.turn) SELECT x.conv_id, x.turn, coalesce(o.common, 0) AS common, round(2e0 * coalesce(o.common, 0) / (x.total + y.total), 8) AS f1 FROM s x JOIN s y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1 LEFT JOIN o ON o.conv_id = x.conv_id AND o.turn = x.turn",
@@ -151,11 +155,9 @@ SQL: dict[str, str] = {
     "hash_fold": "SELECT doc_id, @fold5(CAST(doc_id AS STRING)) AS fold FROM documents",
     "hash_rank_cohort": "SELECT source, doc_id, rn FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY @sha(concat('cohort|', CAST(doc_id AS STRING))), doc_id) AS BIGINT) AS rn FROM documents) t WHERE rn <= 5",
     "holdout_by_source": "SELECT doc_id, CASE WHEN source IN ('src3', 'src7') THEN 'test' WHEN @fold5(source) = 0 THEN 'dev' ELSE 'train' END AS part FROM documents",
-    "round_robin_select": "SELECT doc_id, turn FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY rn, source, doc_id) AS BIGINT) AS turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) t WHERE rn <= 20) u WHERE turn <= 100",
+    "round_robin_select": "SELECT doc_id, turn FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY rn, source, doc_id) AS BIGINT) AS turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) t) u WHERE turn <= 100",
     "exact_dedup": "SELECT min(doc_id) AS keeper, count(*) AS copies FROM documents GROUP BY @sha(text) HAVING count(*) > 1",
-    "benchmark_contains": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "benchmark_ngram_overlap": "WITH d AS (SELECT DISTINCT doc_id, w FROM documents, @unnest(@tok(text)) AS t(w) WHERE length(w) >= 8), b AS (SELECT DISTINCT item_id, w FROM benchmark, @unnest(@tok(text)) AS t(w) WHERE length(w) >= 8) SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b ON d.w = b.w GROUP BY doc_id, item_id HAVING count(*) >= 5",
-    "quarantine_propagation": "WITH q AS (SELECT DISTINCT d.source FROM documents d JOIN benchmark b ON contains(d.text, b.text)) SELECT d.source, count(*) AS docs, max(CASE WHEN q.source IS NULL THEN 0 ELSE 1 END) AS quarantined FROM documents d LEFT JOIN q ON q.source = d.source GROUP BY d.source",
+    "benchmark_ngram_overlap": "WITH d AS (SELECT DISTINCT doc_id, @sha(g) AS g FROM (SELECT doc_id, @tok(text) AS words_ FROM documents) x, @unnest(@grams(words_)) AS t(g)), b AS (SELECT DISTINCT item_id, @sha(g) AS g FROM (SELECT item_id, @tok(text) AS words_ FROM benchmark) y, @unnest(@grams(words_)) AS t(g)), n AS (SELECT item_id, count(*) AS grams FROM b GROUP BY item_id) SELECT d.doc_id, b.item_id, count(*) AS shared, max(n.grams) AS grams FROM d JOIN b ON b.g = d.g JOIN n ON n.item_id = b.item_id GROUP BY d.doc_id, b.item_id",
     "split_random_contamination": "SELECT count(*) AS texts, count(CASE WHEN parts > 1 THEN 1 END) AS contaminated FROM (SELECT @sha(text) AS h, count(DISTINCT CASE WHEN @fold5(CAST(doc_id AS STRING)) = 0 THEN 1 ELSE 0 END) AS parts FROM documents GROUP BY @sha(text)) t",
     # evaluation
     "macro_vs_micro": "SELECT round(avg(f), 8) AS macro, round(sum(hit) * 1e0 / sum(n), 8) AS micro FROM (SELECT source, avg(CAST(toxic AS DOUBLE)) AS f, sum(toxic) AS hit, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY source) t",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
-from lodestar.operators import graph, splits, vectors
+from lodestar.operators import contain, graph, splits, vectors
 from lodestar.sources.tables import table
 from lodestar.streaming import ledger
 
@@ -23,11 +23,24 @@ def split_partition_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def split_leakage_audit(spark: SparkSession, root: str) -> DataFrame:
-    return splits.crossing(split_exact_groups(spark, root))
+    """Sources that lie in more than one partition: groups never do, sources may."""
+    s = split_exact_groups(spark, root).join(table(spark, root, "documents").select("doc_id", "source"), "doc_id")
+    return splits.crossing(s, "source").unionByName(splits.crossing(s).withColumn("source", F.col("group_id").cast("string")).drop("group_id"))
+
+
+def benchmark_contains(spark: SparkSession, root: str) -> DataFrame:
+    return contain.contained(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+def quarantine_propagation(spark: SparkSession, root: str) -> DataFrame:
+    """Sources, of which one document that holds a passage quarantines all."""
+    docs = table(spark, root, "documents").select("doc_id", "source")
+    bad = benchmark_contains(spark, root).select("doc_id").distinct().join(docs, "doc_id").select("source").distinct().withColumn("hit", F.lit(1))
+    return docs.groupBy("source").agg(F.count("*").alias("docs")).join(bad, "source", "left").select("source", "docs", F.coalesce("hit", F.lit(0)).alias("quarantined"))
 
 
 def components_recursive(spark: SparkSession, root: str) -> DataFrame:
-    return splits.groups(spark, table(spark, root, "documents"))
+    return splits.linked(spark, table(spark, root, "documents"))
 
 
 def component_sizes(spark: SparkSession, root: str) -> DataFrame:
@@ -64,15 +77,24 @@ def gram_matrix(spark: SparkSession, root: str) -> DataFrame:
     return c.join(other, "i").groupBy("label", "other").agg(F.round(F.sum(F.col("mean") * F.col("m2")), 6).alias("g"))
 
 
+def _trade(spark: SparkSession, root: str) -> DataFrame:
+    """Edges a -> b from each customer nation to the supplier nation that it orders most lines from."""
+    orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c_custkey"))
+    lines = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s_suppkey"))
+    buyers = orders.join(table(spark, root, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a")), "c_custkey")
+    sellers = lines.join(table(spark, root, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("b")), "s_suppkey")
+    n = buyers.join(sellers, "k").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return n.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("minus"))).alias("top")).select("a", (-F.col("top.minus")).alias("b"))
+
+
 def cycle_check(spark: SparkSession, root: str) -> DataFrame:
-    li = table(spark, root, "lineitem")
-    e = li.where("l_linenumber = 1").select((F.col("l_suppkey") % 97).alias("a"), (F.col("l_partkey") % 97).alias("b")).where("a < b").distinct()
-    return graph.cyclic(spark, e.union(spark.sql("SELECT 1000L AS a, 1001L AS b UNION ALL SELECT 1001L, 1000L UNION ALL SELECT 1001L, 1002L")))
+    """Nations that no order of that graph can place: those on a cycle or after one."""
+    return graph.cyclic(spark, _trade(spark, root))
 
 
 def reachability(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_nationkey") * 2 + 1).cast("long").alias("b")).where("b < 25")
-    return graph.reachable(spark, e, spark.sql("SELECT 0L AS node"))
+    """Nations reached from nation 0, with the fewest steps."""
+    return graph.reachable(spark, _trade(spark, root), spark.sql("SELECT 0L AS node"))
 
 
 def stream_tumbling(spark: SparkSession, root: str) -> DataFrame:
@@ -100,20 +122,26 @@ a AS (SELECT group_id, CASE WHEN i <= c0 THEN 'train' WHEN i <= c0 + c1 THEN 'de
 s AS (SELECT g.doc_id, g.group_id, a.part AS partition, a.reason FROM g JOIN a ON a.group_id = g.group_id)
 """
 
+_TOK = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')"
+_TRADE = "e AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rn FROM (SELECT CAST(c_nationkey AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL) t) u WHERE rn = 1)"
+
 ORACLE = {
     "split_exact_groups": _SPLIT + "SELECT doc_id, group_id, partition, reason FROM s",
     "split_partition_stats": _SPLIT + "SELECT partition, reason, count(*) AS docs, count(DISTINCT group_id) AS groups FROM s GROUP BY partition, reason",
-    "split_leakage_audit": _SPLIT + "SELECT group_id, count(DISTINCT partition) AS partitions FROM s WHERE partition <> 'excluded' GROUP BY group_id HAVING count(DISTINCT partition) > 1",
+    "split_leakage_audit": _SPLIT + "SELECT d.source, count(DISTINCT s.partition) AS partitions FROM s JOIN documents d ON d.doc_id = s.doc_id WHERE s.partition <> 'excluded' GROUP BY d.source HAVING count(DISTINCT s.partition) > 1 UNION ALL SELECT CAST(group_id AS VARCHAR), count(DISTINCT partition) FROM s WHERE partition <> 'excluded' GROUP BY group_id HAVING count(DISTINCT partition) > 1",
     "components_recursive": f"WITH {_GROUPS} SELECT doc_id, group_id FROM g",
     "component_sizes": f"WITH {_GROUPS} SELECT size, count(*) AS components FROM (SELECT group_id, count(*) AS size FROM g GROUP BY group_id) t GROUP BY size",
     "nearest_centroid": "WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS c, i, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, i), d AS (SELECT x.vec_id, x.label, c.c, round(sum(c.m * c.m) - 2 * sum(CAST(x.x AS DOUBLE) * c.m), 9) AS d FROM x JOIN c ON c.i = x.i GROUP BY x.vec_id, x.label, c.c) SELECT vec_id, label, c AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS rn FROM d) t WHERE rn = 1",
     "gram_matrix": "WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, i) SELECT a.label, b.label AS other, round(sum(a.m * b.m), 6) AS g FROM c a JOIN c b ON a.i = b.i GROUP BY a.label, b.label",
-    "cycle_check": "SELECT CAST(node AS BIGINT) AS node FROM (VALUES (1000), (1001)) t(node) UNION ALL SELECT 1002",
-    "reachability": "WITH RECURSIVE r(node, steps) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT node * 2 + 1, steps + 1 FROM r WHERE node * 2 + 1 < 25) SELECT node, steps FROM r",
+    "benchmark_contains": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+    "quarantine_propagation": "WITH q AS (SELECT DISTINCT d.source FROM documents d JOIN benchmark b ON contains(d.text, b.text)) SELECT d.source, count(*) AS docs, max(CASE WHEN q.source IS NULL THEN 0 ELSE 1 END) AS quarantined FROM documents d LEFT JOIN q ON q.source = d.source GROUP BY d.source",
+    "cycle_check": f"WITH RECURSIVE {_TRADE}, r(start, node) AS (SELECT a, b FROM e UNION SELECT r.start, e.b FROM r JOIN e ON e.a = r.node), c AS (SELECT DISTINCT start AS node FROM r WHERE start = node) SELECT node FROM c UNION SELECT r.node FROM r JOIN c ON c.node = r.start",
+    "reachability": f"WITH RECURSIVE {_TRADE}, r(node, steps) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.b, r.steps + 1 FROM r JOIN e ON e.a = r.node WHERE r.steps < 30) SELECT node, min(steps) AS steps FROM r GROUP BY node",
+    "bigram_f1": "WITH w AS (SELECT conv_id, turn, " + _TOK + " AS w FROM conversations), b AS (SELECT conv_id, turn, [w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)] AS b FROM w), x AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest(b) AS g FROM b) u GROUP BY ALL), o AS (SELECT a.conv_id, a.turn, sum(least(a.c, z.c)) AS o FROM x a JOIN x z ON z.conv_id = a.conv_id AND z.turn = a.turn + 1 AND z.g = a.g GROUP BY ALL) SELECT a.conv_id, a.turn, CASE WHEN len(a.b) + len(z.b) > 0 THEN round(2::DOUBLE * coalesce(o.o, 0) / (len(a.b) + len(z.b)), 8) ELSE 0 END AS f1 FROM b a JOIN b z ON z.conv_id = a.conv_id AND z.turn = a.turn + 1 LEFT JOIN o ON o.conv_id = a.conv_id AND o.turn = a.turn",
     "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY strftime(ts, '%Y-%m-%d'), event_type",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (split_exact_groups, split_partition_stats, split_leakage_audit, components_recursive, component_sizes, bigram_f1, wer_pairs, nearest_centroid, gram_matrix, cycle_check, reachability, stream_tumbling, stream_ledger)
+    made = (benchmark_contains, quarantine_propagation, split_exact_groups, split_partition_stats, split_leakage_audit, components_recursive, component_sizes, bigram_f1, wer_pairs, nearest_centroid, gram_matrix, cycle_check, reachability, stream_tumbling, stream_ledger)
     return {f.__name__: f for f in made}

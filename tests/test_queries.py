@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestar.plans import catalog, frames
+from lodestar.plans import catalog, frames, language
 from lodestar.sources.tables import TABLES
 
 ROOT = "/root/testdata/sf0.001"
-MADE, SQL = catalog.queries() | frames.queries(), catalog.oracle_sql() | frames.ORACLE
+MADE, SQL = catalog.queries() | frames.queries() | language.queries(), catalog.oracle_sql() | frames.ORACLE | language.ORACLE
 
 
 @pytest.fixture(scope="module")
