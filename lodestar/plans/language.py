@@ -101,7 +101,7 @@ def _chrf_sql(clean: str) -> str:
     )
 
 
-_LOOP = "SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '\\s+') IF x <> ''] AS w, coalesce(text, '') AS text FROM documents"
+_LOOP = "SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '\\s+') IF x <> ''] AS w, string_split(coalesce(text, ''), '') AS c FROM documents"
 _TAIL = "(len(w) >= {0} AND len(list_distinct([array_to_string(w[len(w) - k * {1} + 1 : len(w) - k * {1} + {1}], ' ') FOR k IN [1, 2, 3, 4]])) = 1)"
 
 ORACLE = {
@@ -115,7 +115,7 @@ ORACLE = {
     "SELECT conv_id, turn, CASE WHEN a > 0 AND b > 0 THEN round(CASE WHEN a > b THEN 1 ELSE exp(1 - b::DOUBLE / a) END * exp(m), 4) ELSE 0 END AS bleu FROM s",
     "cer_ascii": "WITH p AS (SELECT conv_id, turn, trim(g) AS g, trim(t) AS t FROM (" + _PAIRS.format(g="regexp_replace(a.text, '[^\\x00-\\x7F]', '', 'g')", t="regexp_replace(b.text, '[^\\x00-\\x7F]', '', 'g')") + ") z) SELECT conv_id, turn, CASE WHEN length(t) > 0 THEN round(levenshtein(g, t)::DOUBLE / length(t), 8) WHEN length(g) > 0 THEN 1 ELSE 0 END AS cer FROM p",
     "sequence_scores": "WITH p AS (" + _PAIRS.format(g="trim(regexp_replace(a.text, '[^\\x00-\\x7F]', '', 'g'))", t="regexp_replace(b.text, '[^\\x00-\\x7F]', '', 'g')") + ") SELECT conv_id, turn, round(greatest(0, 1 - least(levenshtein(g, t), levenshtein(g, lower(t)))::DOUBLE / greatest(length(t), 1)), 8) AS score FROM p",
-    "repetition_loops": f"SELECT doc_id, CASE WHEN {_TAIL.format(4, 1)} OR {_TAIL.format(8, 2)} OR {_TAIL.format(12, 3)} OR len([i FOR i IN generate_series(1, length(text) - 4) IF substr(text, i, 1) <> chr(10) AND substr(text, i, 5) = repeat(substr(text, i, 1), 5)]) > 0 THEN 1 ELSE 0 END AS loops FROM ({_LOOP}) z",
+    "repetition_loops": f"SELECT doc_id, CASE WHEN {_TAIL.format(4, 1)} OR {_TAIL.format(8, 2)} OR {_TAIL.format(12, 3)} OR len([i FOR i IN generate_series(1, len(c) - 4) IF c[i] <> chr(10) AND c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] = c[i + 3] AND c[i] = c[i + 4]]) > 0 THEN 1 ELSE 0 END AS loops FROM ({_LOOP}) z",
     "normalisation_profiles": "SELECT doc_id, sha256(text) AS identity, sha256(nfc_normalize(text)) AS nfc, sha256(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g')) AS diplomatic, sha256(trim(regexp_replace(lower(nfc_normalize(text)), '[ \\t\\r\\n]+', ' ', 'g'))) AS compare FROM documents",
     "canonical_json": """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS digest FROM documents""",
 }
