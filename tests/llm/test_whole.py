@@ -59,3 +59,28 @@ def test_ivf_pq_keeps_smallest_ids_of_copies_and_fills_up(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     n = ivfpq.search(spark, d, "vec_id", "embedding", every=1, lists=3, probes=0.34).groupBy("query_id").count().collect()
     assert sorted((a, b) for a, b in n) == [(i, 20) for i in range(25)]
+
+
+def test_lm_base_columns_equal_a_plain_count(spark, monkeypatch):
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    rng = np.random.default_rng(11)
+    words = ["the", "Of", "zyxq", "naïve", "Ünder", "x" * 70, "1,5", "mañana"] + [f"w{i}q" for i in range(300)]
+    texts = [" \t\n"[i % 3].join(words[int(j)] for j in rng.integers(0, len(words), int(rng.integers(0, 60)))) for i in range(200)]
+    rows = [*enumerate(texts), (200, None), (201, ""), (None, "the zyxq"), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "STEPS", 3)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    low = lambda x: re.sub("[A-Z]", lambda c: c[0].lower(), x or "")
+    cut = [(i, x, [*re.findall(r"[^\x20\x09-\x0D]+", low(x)), None]) for i, x in rows]
+    count = Counter(w for i, _, x in cut if not held(i) for w in x)
+    total, distinct = sum(count.values()), len(count)
+    want = sorted((str(i), held(i), len(x), sum(count[w] > 0 for w in x), total, round(sum(math.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in x), 6)) for i, _, x in cut)
+    for frequent in (4096, 20, 0):  # words by their documents, by the documents' own lists, and both
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        got = lm.score(spark, docs, PATH).collect()
+        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+        assert all(r.score < 0 for r in got)
