@@ -169,6 +169,7 @@ SQL: dict[str, str] = {
     "brier_ece": "WITH p AS (SELECT l.quality AS y, least(d.n_chars / 4000.0, 1.0) AS q FROM labels l JOIN documents d ON d.doc_id = l.doc_id), b AS (SELECT least(CAST(floor(q * 10) AS BIGINT), 9) AS bin, count(*) AS n, avg(CAST(y AS DOUBLE)) AS acc, avg(CAST(q AS DOUBLE)) AS conf FROM p GROUP BY least(CAST(floor(q * 10) AS BIGINT), 9)) SELECT (SELECT round(avg(CAST((q - y) * (q - y) AS DOUBLE)), 6) FROM p) AS brier, round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece FROM b",
     "risk_coverage": "SELECT doc_id, CAST(row_number() OVER w AS BIGINT) AS taken, round(avg(CAST(1 - quality AS DOUBLE)) OVER (ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS risk FROM (SELECT l.doc_id, l.quality, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id) t WINDOW w AS (ORDER BY n_chars DESC, doc_id)",
     "paired_delta": "SELECT a.event_type AS type, count(*) AS users, round(avg(a.m - b.m), 8) AS delta FROM (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY event_type, user_id) a JOIN (SELECT user_id, avg(value) AS m FROM events GROUP BY user_id) b ON a.user_id = b.user_id GROUP BY a.event_type",
+    "ratio_bootstrap": "WITH g AS (SELECT c_nationkey AS g, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS a, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS b, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey), c AS (SELECT a, b, n, CAST(row_number() OVER (ORDER BY g) AS BIGINT) - 1 AS i, count(*) OVER () AS k FROM g), r AS (SELECT t.b AS rep, @boot(concat(CAST(t.b AS STRING), ',', CAST(c.i AS STRING))) % c.k AS pick FROM c CROSS JOIN (SELECT * FROM @replicates) t), s AS (SELECT r.rep, CAST(sum(c.a) - sum(c.b) AS DOUBLE) / sum(c.n) AS diff FROM r JOIN c ON c.i = r.pick GROUP BY r.rep), o AS (SELECT diff, row_number() OVER (ORDER BY diff) AS rn FROM s) SELECT round((SELECT CAST(sum(a) - sum(b) AS DOUBLE) / sum(n) FROM g), 8) AS estimate, round(min(CASE WHEN rn = 50 THEN diff END), 8) AS lo, round(min(CASE WHEN rn = 1950 THEN diff END), 8) AS hi FROM o",
     "bootstrap_ci": "WITH c AS (SELECT user_id, avg(value) AS m, CAST(row_number() OVER (ORDER BY user_id) AS BIGINT) - 1 AS i, count(*) OVER () AS k FROM events GROUP BY user_id), r AS (SELECT b.b, c.k, @boot(concat(CAST(b.b AS STRING), ',', CAST(c.i AS STRING))) % c.k AS pick FROM c CROSS JOIN (SELECT * FROM @range) b), s AS (SELECT r.b, avg(c.m) AS mean FROM r JOIN c ON c.i = r.pick GROUP BY r.b), o AS (SELECT mean, row_number() OVER (ORDER BY mean) AS rn FROM s) SELECT round(min(CASE WHEN rn = 6 THEN mean END), 6) AS lo, round(min(CASE WHEN rn = 195 THEN mean END), 6) AS hi FROM o",
     # events
     "tumbling": "SELECT @day(ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY @day(ts), event_type",
@@ -186,11 +187,11 @@ SQL |= rules.SQL
 
 
 def spark_sql(name: str) -> str:
-    return _written(SQL[name].replace("@range", "(SELECT id AS b FROM range(0, 200))"), _SPARK)
+    return _written(SQL[name].replace("@range", "(SELECT id AS b FROM range(0, 200))").replace("@replicates", "(SELECT id AS b FROM range(0, 2000))"), _SPARK)
 
 
 def duck_sql(name: str) -> str:
-    sql = SQL[name].replace("@range", "(SELECT range AS b FROM range(0, 200))").replace("AS STRING)", "AS VARCHAR)")
+    sql = SQL[name].replace("@range", "(SELECT range AS b FROM range(0, 200))").replace("@replicates", "(SELECT range AS b FROM range(0, 2000))").replace("AS STRING)", "AS VARCHAR)")
     return _written(sql, _DUCK)
 
 

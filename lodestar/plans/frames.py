@@ -71,6 +71,44 @@ def nearest_centroid(spark: SparkSession, root: str) -> DataFrame:
     return vectors.nearest_centroid(table(spark, root, "embeddings"))
 
 
+def _asked(e: DataFrame) -> DataFrame:
+    return e.where(F.col("vec_id") % 100 == 0)
+
+
+def cosine_topk(spark: SparkSession, root: str) -> DataFrame:
+    """The 10 rows of smallest angle to each query (every row whose id is divisible by 100)."""
+    e = table(spark, root, "embeddings")
+    return vectors.nearest(e, _asked(e), 10).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def knn_1(spark: SparkSession, root: str) -> DataFrame:
+    """Each query's label beside that of its nearest other row."""
+    e = table(spark, root, "embeddings")
+    found = vectors.nearest(e, _asked(e), 1, "euclid")
+    found = found.join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    return found.join(e.select("vec_id", F.col("label").alias("predicted")), "vec_id").select("query_id", "label", "vec_id", "predicted", F.round("score", 6).alias("distance"))
+
+
+def _ridge(spark: SparkSession, root: str) -> tuple[DataFrame, float]:
+    e = table(spark, root, "embeddings").withColumn("fold", (F.crc32(F.col("vec_id").cast("string")) % 3).cast("long"))
+    return vectors.ridge(e, "fold", 2)
+
+
+def ridge_holdout(spark: SparkSession, root: str) -> DataFrame:
+    """The third fold's rows by a model of the other two, whose penalty these two choose."""
+    scored, alpha = _ridge(spark, root)
+    return scored.where("fold = 2").select("vec_id", "label", "predicted", F.round("confidence", 6).alias("confidence"), F.lit(alpha).alias("alpha"))
+
+
+def ood_threshold(spark: SparkSession, root: str) -> DataFrame:
+    """The 5 % quantile of the confidences of the first two folds, each by the other's model; rows of the
+    third fold below it are turned away."""
+    scored, _ = _ridge(spark, root)
+    limit = scored.where("fold <> 2").agg(F.percentile("confidence", 0.05).alias("threshold"), F.count("*").alias("calibrated"))
+    tested = scored.where("fold = 2").join(F.broadcast(limit.select("threshold")))
+    return tested.agg(F.count("*").alias("tested"), F.coalesce(F.sum((F.col("confidence") < F.col("threshold")).cast("long")), F.lit(0)).alias("rejected")).join(limit.select(F.round("threshold", 6).alias("threshold"), "calibrated"))
+
+
 def gram_matrix(spark: SparkSession, root: str) -> DataFrame:
     c = vectors.centroids(table(spark, root, "embeddings"))
     other = c.select(F.col("label").alias("other"), "i", F.col("mean").alias("m2"))
@@ -132,6 +170,8 @@ ORACLE = {
     "components_recursive": f"WITH {_GROUPS} SELECT doc_id, group_id FROM g",
     "component_sizes": f"WITH {_GROUPS} SELECT size, count(*) AS components FROM (SELECT group_id, count(*) AS size FROM g GROUP BY group_id) t GROUP BY size",
     "nearest_centroid": "WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS c, i, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, i), d AS (SELECT x.vec_id, x.label, c.c, round(sum(c.m * c.m) - 2 * sum(CAST(x.x AS DOUBLE) * c.m), 9) AS d FROM x JOIN c ON c.i = x.i GROUP BY x.vec_id, x.label, c.c) SELECT vec_id, label, c AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS rn FROM d) t WHERE rn = 1",
+    "cosine_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM e), d AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.x, c.x) / (q.n * c.n), 9) AS score FROM n q JOIN n c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 AND q.n > 0 AND c.n > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM d) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10",
+    "knn_1": "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), d AS (SELECT q.vec_id AS query_id, q.label, c.vec_id, c.label AS predicted, round(list_inner_product(q.x, q.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(q.x, c.x), 9) AS distance FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) SELECT query_id, label, vec_id, predicted, round(distance, 6) AS distance FROM r WHERE rank = 1",
     "gram_matrix": "WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, i) SELECT a.label, b.label AS other, round(sum(a.m * b.m), 6) AS g FROM c a JOIN c b ON a.i = b.i GROUP BY a.label, b.label",
     "benchmark_contains": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "quarantine_propagation": "WITH q AS (SELECT DISTINCT d.source FROM documents d JOIN benchmark b ON contains(d.text, b.text)) SELECT d.source, count(*) AS docs, max(CASE WHEN q.source IS NULL THEN 0 ELSE 1 END) AS quarantined FROM documents d LEFT JOIN q ON q.source = d.source GROUP BY d.source",
@@ -143,5 +183,5 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (benchmark_contains, quarantine_propagation, split_exact_groups, split_partition_stats, split_leakage_audit, components_recursive, component_sizes, bigram_f1, wer_pairs, nearest_centroid, gram_matrix, cycle_check, reachability, stream_tumbling, stream_ledger)
+    made = (benchmark_contains, quarantine_propagation, split_exact_groups, split_partition_stats, split_leakage_audit, components_recursive, component_sizes, bigram_f1, wer_pairs, nearest_centroid, cosine_topk, knn_1, ridge_holdout, ood_threshold, gram_matrix, cycle_check, reachability, stream_tumbling, stream_ledger)
     return {f.__name__: f for f in made}

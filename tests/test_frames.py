@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from lodestar.operators import vectors
 from lodestar.plans import frames
 
 
@@ -22,3 +25,63 @@ def test_wer_pairs_of_many_words(spark, tmp_path):
     got = {(x.conv_id, x.turn): (x.edits, x.wer) for x in frames.wer_pairs(spark, str(tmp_path)).collect()}
     want = {(1, i): (edits(a, b), round(edits(a, b) / len(b), 8) if b else float(bool(a))) for i, (a, b) in enumerate(zip(turns, turns[1:], strict=False))}
     assert got == want | {(2, 0): (2, 1.0)}
+
+
+def test_ridge_equals_a_direct_solution(spark):
+    r = np.random.default_rng(2)
+    centre = r.standard_normal((4, 6))
+    y = r.integers(0, 4, 600)
+    x, fold = centre[y] + 0.6 * r.standard_normal((600, 6)), r.integers(0, 3, 600)
+    rows = [(i, v.tolist(), f"c{c}", int(f)) for i, (v, c, f) in enumerate(zip(x, y, fold, strict=True))]
+    odd = [(900, None, "c1", 0), (901, [float("nan")] * 6, "c1", 1), (902, x[0].tolist(), None, 2)]
+    schema = "vec_id long, embedding array<double>, label string, fold long"
+    scored, alpha = vectors.ridge(spark.createDataFrame(rows + odd, schema), "fold", 2)
+
+    def outputs(one, a):
+        some = (fold != 2) & (fold != one)
+        t, target = x[some], np.eye(4)[y[some]]
+        m = t - t.mean(0)
+        w = np.linalg.solve(m.T @ m + a * np.eye(6), m.T @ (target - target.mean(0)))
+        return (x[fold == one] - t.mean(0)) @ w + target.mean(0)
+
+    alphas = (0.01, 0.1, 1.0, 10.0, 100.0)
+    right = {a: sum((outputs(f, a).round(9).argmax(1) == y[fold == f]).sum() for f in (0, 1)) for a in alphas}
+    assert alpha == min(alphas, key=lambda a: (-right[a], a))
+    got = {g.vec_id: (g.predicted, g.confidence) for g in scored.collect()}
+    assert len(got) == 600
+    for f in range(3):
+        z = outputs(f, alpha)
+        for i, v in zip(np.flatnonzero(fold == f).tolist(), z, strict=True):
+            assert got[i][0] == f"c{v.argmax()}" and abs(got[i][1] - v.max()) < 1e-6
+    assert vectors.ridge(spark.createDataFrame([], schema), "fold", 2)[0].count() == 0
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    r = np.random.default_rng(6)
+    x = r.integers(-2, 3, (200, 3)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0, 1.0, 1.0]), (300, None), (301, [1.0, None, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    zero = ~x.any(1)
+    for measure in ("cosine", "euclid"):
+        got = {(g.query_id, g["rank"]): (g.vec_id, round(g.score, 6)) for g in vectors.nearest(d, d.where("vec_id % 10 = 0"), 5, measure).collect()}
+        want = {}
+        for q in range(0, 200, 10):
+            if measure == "cosine" and zero[q]:
+                continue
+            cost = lambda c: -float(x[q] @ x[c]) / float(np.linalg.norm(x[q]) * np.linalg.norm(x[c])) if measure == "cosine" else float(((x[q] - x[c]) ** 2).sum())  # noqa: B023, E731
+            others = [c for c in range(200) if c != q and not (measure == "cosine" and zero[c])]
+            for k, (s, c) in enumerate(sorted((round(cost(c), 9), c) for c in others)[:5], 1):
+                want[q, k] = (c, round(-s if measure == "cosine" else s, 6) + 0.0)
+        assert got == want
+    assert vectors.nearest(d.limit(0), d, 5).count() == 0 and vectors.nearest(d, d.limit(0), 5).count() == 0
+
+
+def test_ood_threshold_is_the_quantile_of_held_out_confidences(spark):
+    root = "/root/testdata/sf0.001"
+    scored = frames._ridge(spark, root)[0].toPandas()
+    limit = np.quantile(scored.confidence[scored.fold != 2], 0.05)
+    got = frames.ood_threshold(spark, root).first()
+    assert abs(got.threshold - limit) < 1e-6 and got.calibrated == (scored.fold != 2).sum()
+    assert (got.tested, got.rejected) == ((scored.fold == 2).sum(), (scored.confidence[scored.fold == 2] < limit).sum())
