@@ -39,19 +39,20 @@ def sound(vector: str) -> Column:
     return x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
 
 
-def _packed(df: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
-    """Blocks of about ``rows`` rows, dealt by a hash of key and vector: one array of keys, one of all components."""
+def _packed(df: DataFrame, key: str, vector: str, rows: int, name: str) -> tuple[DataFrame, int]:
+    """Numbered blocks of about ``rows`` rows, dealt by a hash of key and vector: one array of keys, one of
+    all components; and the number of blocks."""
     blocks = -(-df.count() // rows) or 1
     both = F.array_sort(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))))
     out = df.groupBy(F.pmod(F.xxhash64(key, vector), F.lit(blocks)).alias("b")).agg(both.alias("r"))
-    return out.select(F.transform("r", lambda r: r["id"]).alias(f"{name}_id"), F.flatten(F.transform("r", lambda r: r["x"])).alias(f"{name}_x"))
+    return out.select("b", F.transform("r", lambda r: r["id"]).alias(f"{name}_id"), F.flatten(F.transform("r", lambda r: r["x"])).alias(f"{name}_x")), blocks
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), key, score of the k nearest other rows of each query: by cosine (largest
     first; vectors of length zero take no part) or squared Euclidean distance (smallest first), rounded to
-    nine digits, ties to the smaller key. Blocks of queries meet blocks of rows; of each such meeting k
-    rows a query are left, and a window ranks those. An empty side gives no rows."""
+    nine digits, ties to the smaller key. Rows are moved once, each block of queries once to each block of
+    rows; of each such meeting k rows a query are left, and a window ranks those. An empty side gives no rows."""
     if measure not in ("cosine", "euclid"):
         raise ValueError(f"no measure {measure}")
     some = sound(vector) if measure == "euclid" else sound(vector) & F.exists(vector, lambda v: v != 0)
@@ -75,8 +76,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, measure: str = "cosine",
                 score = -cost[fine] + 0.0 if measure == "cosine" else cost[fine]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, fine.sum(1))), pa.array(c[best[fine]]), pa.array(score)], ["query_id", key, "score"])
 
-    met = _packed(asked, key, vector, QUERIES, "q").crossJoin(_packed(rows, key, vector, BLOCK, "c"))
-    found = met.select("q_id", "q_x", "c_id", "c_x").mapInArrow(run, f"query_id long, {key} long, score double")
+    blocks, n = _packed(rows, key, vector, BLOCK, "c")
+    sent = _packed(asked, key, vector, QUERIES, "q")[0].withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    found = sent.join(blocks, "b").select("q_id", "q_x", "c_id", "c_x").mapInArrow(run, f"query_id long, {key} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc() if measure == "cosine" else F.col("score"), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
