@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
-from lodestar.operators import contain, graph, splits, vectors
+from lodestar.operators import contain, graph, images, splits, vectors
 from lodestar.sources.tables import table
 from lodestar.streaming import ledger
 
@@ -109,6 +109,12 @@ def ood_threshold(spark: SparkSession, root: str) -> DataFrame:
     return tested.agg(F.count("*").alias("tested"), F.coalesce(F.sum((F.col("confidence") < F.col("threshold")).cast("long")), F.lit(0)).alias("rejected")).join(limit.select(F.round("threshold", 6).alias("threshold"), "calibrated"))
 
 
+def flood_fill_boxes(spark: SparkSession, root: str) -> DataFrame:
+    """Boxes of the connected regions of positive cells, each vector laid out as a sheet of eight by eight."""
+    cells = table(spark, root, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "v")).where("v > 0")
+    return images.regions(spark, cells.select("image", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y")), 8, 8, 4).withColumnRenamed("image", "vec_id")
+
+
 def gram_matrix(spark: SparkSession, root: str) -> DataFrame:
     c = vectors.centroids(table(spark, root, "embeddings"))
     other = c.select(F.col("label").alias("other"), "i", F.col("mean").alias("m2"))
@@ -172,6 +178,7 @@ ORACLE = {
     "nearest_centroid": "WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS c, i, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, i), d AS (SELECT x.vec_id, x.label, c.c, round(sum(c.m * c.m) - 2 * sum(CAST(x.x AS DOUBLE) * c.m), 9) AS d FROM x JOIN c ON c.i = x.i GROUP BY x.vec_id, x.label, c.c) SELECT vec_id, label, c AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS rn FROM d) t WHERE rn = 1",
     "cosine_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM e), d AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.x, c.x) / (q.n * c.n), 9) AS score FROM n q JOIN n c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 AND q.n > 0 AND c.n > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM d) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10",
     "knn_1": "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), d AS (SELECT q.vec_id AS query_id, q.label, c.vec_id, c.label AS predicted, round(list_inner_product(q.x, q.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(q.x, c.x), 9) AS distance FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) SELECT query_id, label, vec_id, predicted, round(distance, 6) AS distance FROM r WHERE rank = 1",
+    "flood_fill_boxes": "WITH RECURSIVE p AS (SELECT vec_id, i, i % 8 AS x, i // 8 AS y FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) t WHERE v > 0), e AS (SELECT a.vec_id, a.i AS a, b.i AS b FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1), r(vec_id, node, seen) AS (SELECT vec_id, i, i FROM p UNION SELECT e.vec_id, r.node, e.b FROM r JOIN e ON e.vec_id = r.vec_id AND e.a = r.seen), c AS (SELECT vec_id, node, min(seen) AS comp FROM r GROUP BY vec_id, node) SELECT c.vec_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS area FROM c JOIN p ON p.vec_id = c.vec_id AND p.i = c.node GROUP BY c.vec_id, c.comp HAVING count(*) >= 4 AND NOT ((max(x) - min(x) + 1) / 8.0 > 0.95 AND (max(y) - min(y) + 1) / 8.0 > 0.9)",
     "gram_matrix": "WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, i) SELECT a.label, b.label AS other, round(sum(a.m * b.m), 6) AS g FROM c a JOIN c b ON a.i = b.i GROUP BY a.label, b.label",
     "benchmark_contains": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "quarantine_propagation": "WITH q AS (SELECT DISTINCT d.source FROM documents d JOIN benchmark b ON contains(d.text, b.text)) SELECT d.source, count(*) AS docs, max(CASE WHEN q.source IS NULL THEN 0 ELSE 1 END) AS quarantined FROM documents d LEFT JOIN q ON q.source = d.source GROUP BY d.source",
@@ -183,5 +190,5 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (benchmark_contains, quarantine_propagation, split_exact_groups, split_partition_stats, split_leakage_audit, components_recursive, component_sizes, bigram_f1, wer_pairs, nearest_centroid, cosine_topk, knn_1, ridge_holdout, ood_threshold, gram_matrix, cycle_check, reachability, stream_tumbling, stream_ledger)
+    made = (benchmark_contains, quarantine_propagation, split_exact_groups, split_partition_stats, split_leakage_audit, components_recursive, component_sizes, bigram_f1, wer_pairs, nearest_centroid, cosine_topk, knn_1, ridge_holdout, ood_threshold, flood_fill_boxes, gram_matrix, cycle_check, reachability, stream_tumbling, stream_ledger)
     return {f.__name__: f for f in made}

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from lodestar.operators import vectors
+from lodestar.operators import images, vectors
 from lodestar.plans import frames
 
 
@@ -85,3 +85,14 @@ def test_ood_threshold_is_the_quantile_of_held_out_confidences(spark):
     got = frames.ood_threshold(spark, root).first()
     assert abs(got.threshold - limit) < 1e-6 and got.calibrated == (scored.fold != 2).sum()
     assert (got.tested, got.rejected) == ((scored.fold == 2).sum(), (scored.confidence[scored.fold == 2] < limit).sum())
+
+
+def test_regions_of_pixels(spark):
+    sheet = ["##....#", "#...###", "..#....", "######."]
+    rows = [("a", x, y) for y, line in enumerate(sheet) for x, c in enumerate(line) if c == "#"]
+    rows += [("b", x, y) for x in range(7) for y in range(4)] + [("c", 0, 0), ("c", 0, 0), ("c", None, 1)]
+    d = spark.createDataFrame(rows, "image string, x int, y int")
+    boxes = lambda least: sorted(tuple(r) for r in images.regions(spark, d, 7, 4, least).collect())
+    assert boxes(1) == [("a", 0, 0, 2, 2, 3), ("a", 0, 2, 6, 4, 7), ("a", 4, 0, 7, 2, 4), ("c", 0, 0, 1, 1, 1)]
+    assert boxes(4) == [("a", 0, 2, 6, 4, 7), ("a", 4, 0, 7, 2, 4)]
+    assert images.regions(spark, d.limit(0), 7, 4).count() == 0
