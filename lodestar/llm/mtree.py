@@ -4,9 +4,11 @@ Vectors x become points (x, sqrt(M^2 - |x|^2)), M the largest norm, queries (q,
 point, the larger the inner product, so a metric tree answers the search exactly. Rows are dealt to
 chunks by a hash of their id; every chunk's tree is built once, in pages of entries that store the
 distance to their parent and, above the leaves, a covering radius, and written to the shared folder.
-Blocks of queries meet every chunk; within one, pages wait in a heap by their least possible
-distance, and stored distances rule entries out by the triangle inequality before any is computed.
-Bounds carry a slack over rounding; scores are integers, compared exactly.
+Blocks of queries meet every chunk and go through its tree together: pages wait in a heap by their
+least possible distance to any query of the block, each with the queries that it may still serve, and
+stored distances rule entries out by the triangle inequality before any is computed; what is left of a
+page and its queries is one product of matrices. Bounds carry a slack over rounding; scores are
+integers, compared exactly. Trees and blocks hold vectors in the least integer type that fits them.
 
 Vectors null, empty or holding null or non-finite components take no part, nor do those of another
 length than the query set's most frequent. Repeated ids are rows of their own (a query passes over
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import drop, materialise
+from lodestar.llm.common import drop, materialise, released
 from lodestar.llm.vectors import matrix, usable
 
 PAGE, CHUNK_ROWS, BLOCK_QUERIES = 64, 8192, 1024
@@ -36,7 +38,7 @@ class MTree:
     the routing object of the page's own entry (0 in the root page, which has none)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, most: float, rng=None):
-        self.ids, self.x = ids, x
+        self.ids, self.x = ids, narrow(x)
         x = x.astype(np.float64)
         self.points = np.c_[x, np.sqrt(np.maximum(0.0, most - (x * x).sum(1)))]
         self.most = most
@@ -76,61 +78,98 @@ class MTree:
         d = self.points[rows] - self.points[one]
         return np.sqrt((d * d).sum(1))
 
-    def top(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) but for the query's own id, and best first."""
-        if not len(self.ids):
-            return []
-        point = q.astype(np.float64)
-        norm = float(point @ point) + self.most
+    def top(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best rows of each query but those of its own id: query (its row in q), score, id; best first."""
+        n = len(q)
+        if not n or not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # no partial sum of an inner product passes the largest norm, so doubles are exact below 2^53
+        exact = self.most < 2**53
+        points, x = q.astype(np.float64), self.x.astype(np.float64)
+        asked, rows, none = (points, x, -np.inf) if exact else (q.astype(np.int64), self.x.astype(np.int64), np.iinfo(np.int64).min)
+        norm = (points * points).sum(1) + self.most
         slack = 1e-6 * (1 + np.sqrt(norm))
-        found: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
-        reach = np.inf
-        heap = [(0.0, 0, -1.0)]  # least distance, page, distance from the query to its routing object
-        while heap and heap[0][0] <= reach:
-            _, page, up = heapq.heappop(heap)
-            e = np.arange(self.first[page], self.first[page + 1])
-            if up >= 0:
-                e = e[np.abs(up - self.to_parent[e]) - self.radius[e] <= reach]
-            if not len(e):
+        score, ids = np.full((n, k), none), np.full((n, k), np.iinfo(np.int64).max)  # best first; what is not found yet last
+        reach = np.full(n, np.inf)
+        every = np.arange(n)
+        # least distance of any query, order, page, its queries, their least distances and those to its routing object
+        heap = [(0.0, 0, 0, every, np.zeros(n), None)]
+        pushed = 0
+        while heap and heap[0][0] <= reach.max():
+            _, _, page, who, least, up = heapq.heappop(heap)
+            near = least <= reach[who]
+            who = who[near]
+            if not len(who):
                 continue
+            e = np.arange(self.first[page], self.first[page + 1])
+            if up is not None:  # entries that the stored distances rule out for all of these queries
+                up, far = up[near], reach[who].max() + self.radius[e]
+                e = e[(self.to_parent[e] - up.max() <= far) & (up.min() - self.to_parent[e] <= far)]
+                if not len(e):
+                    continue
             o = self.object[e]
             if self.child[e[0]] >= 0:
-                s = self.points[o, :-1] @ point
-                d = np.sqrt(np.maximum(0.0, norm - 2 * s))
-                least = np.maximum(0.0, d - self.radius[e] - slack)
-                for i in np.flatnonzero(least <= reach).tolist():
-                    heapq.heappush(heap, (float(least[i]), int(self.child[e[i]]), float(d[i])))
+                d = np.sqrt(np.maximum(0.0, norm[who] - 2 * (x[o] @ points[who].T)))
+                least = np.maximum(0.0, d - self.radius[e][:, None] - slack[who])
+                some = least <= reach[who]
+                for i in np.flatnonzero(some.any(1)).tolist():
+                    pushed += 1
+                    at = some[i]
+                    heapq.heappush(heap, (float(least[i, at].min()), pushed, int(self.child[e[i]]), who[at], least[i, at], d[i, at]))
                 continue
-            s = self.x[o] @ q
-            for i in (np.flatnonzero(s >= found[0][0]) if len(found) == k else np.arange(len(s))).tolist():
-                entry = (int(s[i]), -int(self.ids[o[i]]))
-                if -entry[1] == own:
-                    continue
-                if len(found) < k:
-                    heapq.heappush(found, entry)
-                elif entry > found[0]:
-                    heapq.heapreplace(found, entry)
-            if len(found) == k:
-                reach = np.sqrt(max(0.0, norm - 2 * found[0][0])) + slack
-        return [(s, -i) for s, i in sorted(found, reverse=True)]
+            s = asked[who] @ rows[o].T
+            a, b = np.nonzero(s >= score[who, -1][:, None])
+            found, w, v = s[a, b], who[a], self.ids[o[b]]
+            fine = ((found > score[w, -1]) | (v < ids[w, -1])) & (v != own[w])
+            if not fine.any():
+                continue
+            found, w, v = found[fine], w[fine], v[fine]
+            met = np.unique(w)
+            w, found, v = np.r_[w, np.repeat(met, k)], np.r_[found, score[met].ravel()], np.r_[v, ids[met].ravel()]
+            order = np.lexsort((v, -found if exact else np.bitwise_not(found), w))
+            first = np.searchsorted(w[order], met)
+            order = order[(first[:, None] + np.arange(k)).ravel()]
+            score[met], ids[met] = found[order].reshape(-1, k), v[order].reshape(-1, k)
+            kth = score[met, -1]
+            full = kth != none
+            reach[met[full]] = np.sqrt(np.maximum(0.0, norm[met[full]] - 2 * kth[full].astype(np.float64))) + slack[met[full]]
+        there = score != none
+        return np.repeat(every, there.sum(1)), score[there].astype(np.int64), ids[there]
 
     def pack(self) -> bytes:
-        head = np.array([*self.x.shape, len(self.object), len(self.first)], np.int64)
-        return b"".join(a.tobytes() for a in (head, np.array([self.most]), self.ids, self.x, self.points, self.object, self.child, self.to_parent, self.radius, self.first.astype(np.int64)))
+        head = np.array([*self.x.shape, self.x.itemsize, len(self.object), len(self.first)], np.int64)
+        return b"".join(a.tobytes() for a in (head, np.array([self.most]), self.ids, self.object, self.child, self.to_parent, self.radius, self.first.astype(np.int64), self.x))
 
     @classmethod
     def unpack(cls, raw: bytes) -> MTree:
+        """A tree to search; points served to build it only."""
         self = cls.__new__(cls)
-        n, d, e, p = np.frombuffer(raw, np.int64, 4).tolist()
-        self.most = float(np.frombuffer(raw, np.float64, 1, 32)[0])
-        at = 40
-        for name, kind, count in (("ids", np.int64, n), ("x", np.int64, n * d), ("points", np.float64, n * (d + 1)), ("object", np.int64, e), ("child", np.int64, e), ("to_parent", np.float64, e), ("radius", np.float64, e), ("first", np.int64, p)):
+        n, d, size, e, p = np.frombuffer(raw, np.int64, 5).tolist()
+        self.most = float(np.frombuffer(raw, np.float64, 1, 40)[0])
+        at = 48
+        for name, kind, count in (("ids", np.int64, n), ("object", np.int64, e), ("child", np.int64, e), ("to_parent", np.float64, e), ("radius", np.float64, e), ("first", np.int64, p)):
             setattr(self, name, np.frombuffer(raw, kind, count, at))
             at += 8 * count
-        self.x, self.points = self.x.reshape(n, d), self.points.reshape(n, d + 1)
+        self.x = np.frombuffer(raw, f"i{size}", n * d, at).reshape(n, d)
         return self
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Integers in the least type that holds them all."""
+    lo, hi = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= lo and hi <= np.iinfo(t).max))
+
+
+def pack_queries(ids: np.ndarray, x: np.ndarray) -> bytes:
+    x = narrow(x)
+    return np.array([*x.shape, x.itemsize], np.int64).tobytes() + ids.tobytes() + x.tobytes()
+
+
+def unpack_queries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, d, size = np.frombuffer(raw, np.int64, 3).tolist()
+    return np.frombuffer(raw, np.int64, n, 24), np.frombuffer(raw, f"i{size}", n * d, 24 + 8 * n).reshape(n, d)
+
+
 def _packs(batches: Iterator[pa.RecordBatch], rows: int, make) -> Iterator[pa.RecordBatch]:
     """Gather runs of equal first column, up to ``rows`` each (a fuller run goes on in another), and
     pack each by make(ids, matrix)."""
@@ -169,24 +208,31 @@ def top_k(spark: SparkSession, df: DataFrame, key: str, vector: str, every: int
     chunks, blocks = max(1, -(-n // chunk_rows)), max(1, -(-q // block_queries))
     dealt = lambda d, m: d.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(m))).select("part", "key", "v")
     by_part = lambda d, m: d.repartition(m, "part").sortWithinPartitions("part", "key")
-    trees = by_part(dealt(rows, chunks), chunks).mapInArrow(lambda it: _packs(it, 2 * chunk_rows, lambda i, x: MTree(i, x, float(most)).pack()), "part long, blob binary")
-    trees, p_trees = materialise(spark, trees.withColumnRenamed("blob", "tree"), "mtree-pages")
-    pack = lambda i, x: np.array(x.shape, np.int64).tobytes() + i.tobytes() + x.tobytes()
-    queries = by_part(dealt(rows.where(is_query), blocks), blocks).mapInArrow(lambda it: _packs(it, block_queries, pack), "part long, blob binary")
-    queries = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("part"), "blob")
+    trees = by_part(dealt(rows, chunks), chunks).mapInArrow(released(lambda it: _packs(it, 2 * chunk_rows, lambda i, x: MTree(i, x, float(most)).pack())), "part long, blob binary")
+    trees, p_trees = materialise(spark, trees, "mtree-pages")
+    queries = by_part(dealt(rows.where(is_query), blocks), blocks).mapInArrow(lambda it: _packs(it, block_queries, pack_queries), "part long, blob binary")
+    queries, p_queries = materialise(spark, queries, "mtree-queries")
+    sent = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("part"), F.lit(1).alias("kind"), "blob")
+    # a part's trees come first and stay while its blocks of queries pass, so no row holds both
+    met = trees.select("part", F.lit(0).alias("kind"), "blob").union(sent).repartition(chunks, "part").sortWithinPartitions("part", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, trees = None, []
         for b in batches:
-            for raw, block in zip(b.column(0), b.column(1), strict=True):
-                tree, block = MTree.unpack(raw.as_py()), block.as_py()
-                m, d = np.frombuffer(block, np.int64, 2).tolist()
-                ids, x = np.frombuffer(block, np.int64, m, 16), np.frombuffer(block, np.int64, m * d, 16 + 8 * m).reshape(m, d)
-                found = [(i, v, s) for i, y in zip(ids.tolist(), x, strict=True) for s, v in tree.top(y, i, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-    found = queries.repartition(max(chunks * blocks, 1), "part", F.xxhash64("blob")).join(trees, "part").select("tree", "blob").mapInArrow(search, "query_id long, vec_id long, score long")
+            for part, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if part != now:
+                    now, trees = part, []
+                if kind == 0:
+                    trees.append(MTree.unpack(blob.as_py()))
+                    continue
+                ids, x = unpack_queries(blob.as_py())
+                for tree in trees:
+                    q, s, v = tree.top(x, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(released(search), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     out = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     out, _ = materialise(spark, out, "mtree-result")
-    drop(spark, p_trees)
+    drop(spark, p_trees, p_queries)
     return out
