@@ -96,3 +96,38 @@ def test_regions_of_pixels(spark):
     assert boxes(1) == [("a", 0, 0, 2, 2, 3), ("a", 0, 2, 6, 4, 7), ("a", 4, 0, 7, 2, 4), ("c", 0, 0, 1, 1, 1)]
     assert boxes(4) == [("a", 0, 2, 6, 4, 7), ("a", 4, 0, 7, 2, 4)]
     assert images.regions(spark, d.limit(0), 7, 4).count() == 0
+
+
+def test_regions_across_tiles_by_few_edges(spark, monkeypatch):
+    """A spiral through many tiles, bars along their borders and a speckled sheet; only touching tiles make edges."""
+    r = random.Random(4)
+    spiral, x, y, dx, dy, n = set(), -40, -40, 1, 0, 80
+    while n > 0:
+        for _ in range(n):
+            spiral.add((x, y))
+            x, y = x + dx, y + dy
+        dx, dy, n = -dy, dx, n - 2 if dx else n - 2
+    sheets = {"spiral": spiral, "bars": {(x, y) for x in range(31, 34) for y in range(100)} | {(35, y) for y in range(70)}, "specks": {(r.randrange(90), r.randrange(90)) for _ in range(4000)}}
+
+    def boxes(some):
+        some, out = set(some), []
+        while some:
+            group = []
+            todo = [some.pop()]
+            while todo:
+                x, y = todo.pop()
+                group.append((x, y))
+                for q in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                    if q in some:
+                        some.remove(q)
+                        todo.append(q)
+            xs, ys = zip(*group, strict=True)
+            out.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1, len(group)))
+        return out
+
+    counted, components = [], images.graph.components
+    monkeypatch.setattr(images.graph, "components", lambda s, nodes, edges: counted.append(edges.count()) or components(s, nodes, edges))
+    d = spark.createDataFrame([(k, x, y) for k, v in sheets.items() for x, y in v], "image string, x int, y int")
+    got = sorted(tuple(g) for g in images.regions(spark, d, 500, 500).collect())
+    assert got == sorted((k, *b) for k, v in sheets.items() for b in boxes(v))
+    assert 0 < counted[0] < sum(map(len, sheets.values())) / 5
