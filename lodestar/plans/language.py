@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import metrics as m
+from lodestar.operators import neighbour
 from lodestar.sources.tables import table
 
 
@@ -86,6 +87,12 @@ def canonical_json(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", F.sha2(row, 256).alias("digest"))
 
 
+def tfidf_neighbour(spark: SparkSession, root: str) -> DataFrame:
+    """What the SQL of ``rules`` says, without pairing all turns that share a word."""
+    found = neighbour.weighted_neighbour(spark, table(spark, root, "conversations"))
+    return found.withColumn("route", F.when(F.col("score") >= 0.3, "retrieved").otherwise("gloss"))
+
+
 _PAIRS = "SELECT a.conv_id, a.turn, {g} AS g, {t} AS t FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"
 _KEEP = r"trim(regexp_replace(lower({0}.text), '\s+', ' ', 'g'))"
 _DROP = r"regexp_replace(lower({0}.text), '\s+', '', 'g')"
@@ -122,4 +129,4 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (chrf2_pairs, chrf_pairs, bleu_pairs, cer_ascii, sequence_scores, repetition_loops, normalisation_profiles, canonical_json)}
+    return {f.__name__: f for f in (chrf2_pairs, chrf_pairs, bleu_pairs, cer_ascii, sequence_scores, repetition_loops, normalisation_profiles, canonical_json, tfidf_neighbour)}
