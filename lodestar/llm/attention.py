@@ -10,6 +10,8 @@ Windows overlap: each token is scored once, by the window that sees the most of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Inputs of a window, and those of them that only give context (but in a text's first window).
@@ -18,6 +20,8 @@ WIDTH, HIDDEN, GROUPS, MEMBERS, SHARED = 16, 24, 32, 32, 64
 OWN = GROUPS * MEMBERS - SHARED
 INPUTS, BUCKETS = 6000, 64
 BLOCK = 256
+#: Windows of a step, and its rate, where all documents are learned from.
+LEARN, RATE = 512, 0.001
 #: Scores that stay within it need no maximum taken off before their exponentials, in single precision.
 SAFE = 60.0
 
@@ -150,6 +154,54 @@ class Attention:
             out += np.bincount(np.repeat(owner[i : i + BLOCK], scored.sum(1)), weights=logp, minlength=len(n))
         return out / np.log(10)
 
+    def windows(self, target: np.ndarray, base: np.ndarray, order) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Batches of inputs, class targets and a mask for sequences one after another, none of them empty; base: where
+        each begins. They are the windows that scoring sees, and the mask takes each token once. order: of n windows."""
+        n = np.diff(np.r_[base, len(target)])
+        before = np.r_[self.size, target[:-1]]
+        before[base] = self.size
+        inputs, cls = self.input[before], self.cls[target]
+        count = 1 + np.maximum(0, -(-(n - WINDOW) // (WINDOW - CONTEXT)))
+        owner = np.repeat(np.arange(len(n)), count)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        chosen = order(len(owner))
+        for i in range(0, len(chosen), LEARN):
+            w = chosen[i : i + LEARN]
+            at = (base[owner[w]] + k[w] * (WINDOW - CONTEXT))[:, None] + np.arange(WINDOW)
+            live = (at < (base + n)[owner[w]][:, None]) & ((np.arange(WINDOW) >= CONTEXT) | (k[w] == 0)[:, None])
+            at = np.minimum(at, len(target) - 1)
+            yield inputs[at], cls[at], live
+
+    def copy(self) -> Attention:
+        """The same model to train further; the counted tables are shared."""
+        out = Attention.__new__(Attention)
+        out.__dict__ |= self.__dict__
+        out.p = {k: v if k in ("table", "below") else v.copy() for k, v in self.p.items()}
+        out.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in out.p.items() if k not in ("table", "below")}
+        out.steps, out.seen, out.ready = 0, np.zeros(len(out.p["e"]), np.int64), None
+        return out
+
+    def sums(self) -> np.ndarray:
+        """The trained weights times the tokens seen, rows of inputs times the times that each was seen, and these numbers."""
+        tokens = float(self.seen.sum())
+        rest = [self.p[k].ravel() * tokens for k in sorted(self.p) if k not in ("table", "below", "e")]
+        return np.concatenate([(self.p["e"] * self.seen[:, None].astype(np.float64)).ravel(), self.seen, *rest, [tokens]])
+
+    def mean(self, sums: np.ndarray) -> None:
+        """Take the means that sums() of several copies, added up, give; inputs that none saw stay."""
+        rows, at = len(self.p["e"]), self.p["e"].size
+        seen, tokens = sums[at : at + rows], sums[-1]
+        if not tokens:
+            return
+        some = seen > 0
+        self.p["e"][some] = sums[:at].reshape(rows, -1)[some] / seen[some, None]
+        at += rows
+        for k in sorted(self.p):
+            if k not in ("table", "below", "e"):
+                v = self.p[k]
+                self.p[k] = (sums[at : at + v.size] / tokens).reshape(v.shape).astype(np.float32)
+                at += v.size
+
     def train(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, rate: float) -> float:
         """One step of Adam on windows of inputs x, class targets y and a mask; the tables stay as counted."""
         p = self.p

@@ -8,8 +8,10 @@ frequent words of a bounded sample (``FREQUENT``; a choice of route, not of resu
 document keeps their numbers beside its ids, and their totals, bounded in number, go to the scoring tasks.
 
 The model's tables of pairs (what follows an id) and its id distributions within classes are counts
-of all training documents; only the attention layer around them is fitted on the driver from that
-sample. Scoring reads all whole texts, as ids.
+of all training documents. The attention layer around them starts from a fit on the driver on that
+sample; then a copy in every task learns from each token of its training documents once, and the
+copies' weights are averaged by the tokens (rows of inputs by the times) that each has seen. So the
+weights depend a little on how the documents are dealt to tasks. Scoring reads all whole texts, as ids.
 
 Nulls and empty texts are one end token. A null key counts as held out. Repeated rows are scored
 each; extra columns are ignored; an empty table gives an empty result.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import attention, token_counts
 from lodestar.llm.common import drop, held_out, materialise, Numbering, ragged, released, text_chunks, texts_of
 
-#: Training documents that the attention weights are fitted on, and steps of the fit.
+#: Training documents that the attention weights start from, and steps of that fit.
 SAMPLE_DOCS, STEPS = 3000, 5000
 #: Words that a document keeps beside its ids instead of sending them.
 FREQUENT = 4096
@@ -271,6 +273,33 @@ def _pairs(batches: Iterator[pa.RecordBatch], shared, path: str, shards: int) ->
             yield _rows([(s, 6, 0, few.tobytes() + total[few].tobytes())])
 
 
+def _learn(batches: Iterator[pa.RecordBatch], shared, path: str, shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows (ids) of training documents: a copy of the model goes once over all their tokens; its sums by shard of the weights."""
+    model, kind, rng = shared.value.copy(), _ids_type(path), np.random.default_rng(7)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            x, n = _joined(batch.column(0).slice(i, 500), kind)
+            for one, y, live in model.windows(x, np.cumsum(n) - n, rng.permutation):
+                model.train(one, y, live, attention.RATE)
+                model.seen += np.bincount(one[live], minlength=len(model.seen))
+    if model.steps:
+        task = TaskContext.get().partitionId()
+        yield _rows([(s, 7, task, part.tobytes()) for s, part in enumerate(np.array_split(model.sums(), shards))])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and task: each shard's sum, in that order, so that reruns agree."""
+    now, total = None, None
+    for batch in batches:
+        for s, x in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if s != now and now is not None:
+                yield _rows([(now, 7, 0, total.tobytes())])
+            total = np.frombuffer(x) if s != now else total + np.frombuffer(x)
+            now = s
+    if now is not None:
+        yield _rows([(now, 7, 0, total.tobytes())])
+
+
 def _score(batches: Iterator[pa.RecordBatch], shared, path: str) -> Iterator[pa.RecordBatch]:
     """Rows (doc, row, ids, often) of documents: their scores, and what frequent words add to their base sums."""
     (model, value, known), kind = shared.value, _ids_type(path)
@@ -349,6 +378,14 @@ def score(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id",
         pairs[np.frombuffer(r[0], np.int64, k)] = np.frombuffer(r[0], np.int64, k, 8 * k)
     model = attention.fit(model, pairs, sequences, STEPS)
     del pairs
+    # the sample only gave a start: copies of the model learn from every token of all training documents, and are averaged
+    start = spark.sparkContext.broadcast(model)
+    learned = cut.where("kind = 8 and not held").select("ids").mapInArrow(released(lambda it: _learn(it, start, path, shards)), _PACKED)
+    learned = learned.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(released(_added), _PACKED)
+    parts = {r["shard"]: r["blob"] for r in learned.select("shard", "blob").collect()}  # one number a weight
+    if parts:
+        model.mean(np.concatenate([np.frombuffer(parts[i]) for i in range(shards)]))
+        model.prepare()
 
     fitted = spark.sparkContext.broadcast((model, np.log10(often + 0.1), (often > 0).astype(np.float64)))  # of fixed size
 
