@@ -19,11 +19,13 @@ WINDOW, CONTEXT = 32, 6
 WIDTH, HIDDEN, GROUPS, MEMBERS, SHARED = 16, 24, 32, 32, 64
 OWN = GROUPS * MEMBERS - SHARED
 INPUTS, BUCKETS = 6000, 64
-BLOCK = 256
+#: Windows scored at once.
+BLOCK = 512
 #: Windows of a step, and its rate, where all documents are learned from.
 LEARN, RATE = 512, 0.001
 #: Scores that stay within it need no maximum taken off before their exponentials, in single precision.
 SAFE = 60.0
+_ONES = np.ones((32, 1), np.float32)  # WINDOW, GROUPS and MEMBERS are this many
 
 
 class Attention:
@@ -67,41 +69,50 @@ class Attention:
         self.p["below"] = np.log(pair.reshape(-1, MEMBERS) / groups.reshape(-1, 1))
 
     def _tables(self):
+        """Each input's query, key and value side by side, the positions' queries and keys, and each input's direct path."""
         p, scale = self.p, np.float32(1 / np.sqrt(WIDTH))
-        return p["e"] @ p["q"] * scale, p["pos"] @ p["q"] * scale, p["e"] @ p["k"], p["pos"] @ p["k"], p["e"] @ p["v"], p["e"] @ p["s"] + p["ob"]
+        pos = np.concatenate([p["pos"] @ p["q"] * scale, p["pos"] @ p["k"], np.zeros_like(p["pos"])], 1)
+        return p["e"] @ np.concatenate([p["q"] * scale, p["k"], p["v"]], 1), pos, p["e"] @ p["s"] + p["ob"]
+
+    def _bound(self, tables) -> None:
+        """Whether exponentials need their maximum taken off."""
+        of, pos = tables[0], tables[1]
+        q, k, qp, kp = (float(np.sqrt(np.einsum("ij,ij->i", x, x).max())) for x in (of[:, :WIDTH], of[:, WIDTH : 2 * WIDTH], pos[:, :WIDTH], pos[:, WIDTH:]))
+        # hidden values are within -1 .. 1, and each row of the tables sums to one before its logarithm
+        shift = max(float(np.abs(self.p["c"]).sum(0).max()), float(np.abs(self.p["d"]).sum(1).max()))
+        self.large = not max((q + qp) * (k + kp), shift) <= SAFE
 
     def prepare(self) -> None:
         """Work out the tables that scoring uses."""
         self.moments = {}
-        self.ones = np.ones(GROUPS, np.float32)
         self.ready = self._tables()
-        q, qp, k, kp = (np.sqrt((x * x).sum(1)).max() for x in self.ready[:4])
-        # hidden values are within -1 .. 1, and each row of the tables sums to one before its logarithm
-        shift = max(float(np.abs(self.p["c"]).sum(0).max()), float(np.abs(self.p["d"]).sum(1).max()))
-        self.large = bool(max((q + qp) * (k + kp), shift) > SAFE)
+        self._bound(self.ready)
 
     def _attend(self, x: np.ndarray, tables):
-        q, qp, k, kp, v, s = tables
-        q, k, v = q[x] + qp, k[x] + kp, v[x]
-        a = q @ k.transpose(0, 2, 1)
+        """Of windows of inputs: queries, keys and values, the weights, and what they gather."""
+        of = tables[0].take(x.ravel(), 0).reshape(*x.shape, 3 * WIDTH)
+        of += tables[1]
+        a = of[:, :, :WIDTH] @ of[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1)
         a += self.mask
         if self.large:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a /= (a @ np.ones((a.shape[2], 1), np.float32))
-        return q, k, v, a, a @ v
+        a *= 1 / (a @ _ONES)
+        return of, a, (a @ of[:, :, 2 * WIDTH :]).reshape(-1, WIDTH)
 
-    def _members(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Each row's product with its own group's matrix."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        cut = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        sorted_, z = h[order], np.empty((len(h), MEMBERS), np.float32)
-        for g in range(GROUPS):
-            if cut[g + 1] > cut[g]:
-                np.matmul(sorted_[cut[g] : cut[g + 1]], self.p["d"][g], out=z[cut[g] : cut[g + 1]])
-        out = np.empty_like(z)
-        out[order] = z
-        return out
+    def _by_group(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of class targets by their groups, and each group with its part of that order."""
+        group = (cls // MEMBERS).astype(np.uint8)
+        cut = np.r_[0, np.cumsum(np.bincount(group, minlength=GROUPS))].tolist()
+        return np.argsort(group, kind="stable"), [(g, cut[g], cut[g + 1]) for g in range(GROUPS) if cut[g + 1] > cut[g]]
+
+    def _soft(self, z: np.ndarray, target) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials in place of logits; the logits at target, and the sums of the exponentials."""
+        if self.large:
+            z -= z.max(1, keepdims=True)
+        at = z[target].copy()
+        np.exp(z, out=z)
+        return at, z @ _ONES[:, 0]
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each sequence of ids; 0 for an empty one."""
@@ -129,29 +140,28 @@ class Attention:
         for i in range(0, len(start), BLOCK):
             s, e, f = start[i : i + BLOCK], end[i : i + BLOCK], k[i : i + BLOCK]
             at = s[:, None] + np.arange(WINDOW)
-            x = inputs[np.minimum(at, len(inputs) - 1)]
-            a = self._attend(x, self.ready)[4]
-            scored = (at < e[:, None]) & ((np.arange(WINDOW) >= CONTEXT) | (f == 0)[:, None])
-            a, x, y = a[scored], x[scored], target[at[scored]]
-            h = np.tanh(a @ self.p["o"] + self.ready[5][x])
+            x = inputs.take(at, mode="clip")
+            c = self._attend(x, self.ready)[2]
+            scored = np.flatnonzero((at < e[:, None]) & ((np.arange(WINDOW) >= CONTEXT) | (f == 0)[:, None]))
+            y = target[at.ravel()[scored]]
             cls = self.cls[y]
-            group, member = cls // MEMBERS, cls % MEMBERS
-            every = np.arange(len(y))
-            z = h @ self.p["c"]
-            z += self.p["table"][x]
-            if self.large:
-                z -= z.max(1, keepdims=True)
-            logp = z[every, group]
-            np.exp(z, out=z)
-            logp -= np.log(z @ self.ones)
-            z = self._members(h, group)
-            z += self.p["below"][x * GROUPS + group]
-            if self.large:
-                z -= z.max(1, keepdims=True)
-            logp += z[every, member]
-            np.exp(z, out=z)
-            logp += self.within[y] - np.log(z @ self.ones)
-            out += np.bincount(np.repeat(owner[i : i + BLOCK], scored.sum(1)), weights=logp, minlength=len(n))
+            order, parts = self._by_group(cls)
+            scored, cls = scored[order], cls[order]
+            x, member = x.ravel()[scored], cls % MEMBERS
+            h = c.take(scored, 0) @ self.p["o"]
+            h += self.ready[2].take(x, 0)
+            np.tanh(h, out=h)
+            logp = self.within[y[order]]
+            for g, l, r in parts:
+                z = h[l:r] @ self.p["c"]
+                z += self.p["table"].take(x[l:r], 0)
+                one, total = self._soft(z, (slice(None), g))
+                logp[l:r] += one - np.log(total)
+                np.matmul(h[l:r], self.p["d"][g], out=z)
+                z += self.p["below"].take(x[l:r] * GROUPS + g, 0)
+                one, total = self._soft(z, (np.arange(r - l), member[l:r]))
+                logp[l:r] += one - np.log(total)
+            out += np.bincount(owner[i : i + BLOCK][scored // WINDOW], weights=logp, minlength=len(n))
         return out / np.log(10)
 
     def windows(self, target: np.ndarray, base: np.ndarray, order) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -204,56 +214,77 @@ class Attention:
 
     def train(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, rate: float) -> float:
         """One step of Adam on windows of inputs x, class targets y and a mask; the tables stay as counted."""
-        p = self.p
-        scale = np.float32(1 / np.sqrt(WIDTH))
+        p, scale = self.p, np.float32(1 / np.sqrt(WIDTH))
         tables = self._tables()
-        q, k, v, a, c = self._attend(x, tables)
-        h = np.tanh(c @ p["o"] + tables[5][x])
-        weight = (live / live.sum()).astype(np.float32).ravel()
-        flat, xs, cls = h.reshape(-1, HIDDEN), x.ravel(), y.ravel()
-        group, member, every = cls // MEMBERS, cls % MEMBERS, np.arange(y.size)
-        z1, z2 = flat @ p["c"] + p["table"][xs], self._members(flat, group) + p["below"][xs * GROUPS + group]
-        loss = 0.0
-        for z, target in ((z1, group), (z2, member)):
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            loss -= float((np.log(z[every, target] + 1e-9) * weight).sum())
-            z[every, target] -= 1
-            z *= weight[:, None]
-        g = {"c": flat.T @ z1, "d": np.zeros_like(p["d"])}
-        dflat = z1 @ p["c"].T
-        for one in np.unique(group).tolist():
-            at = group == one
-            g["d"][one] = flat[at].T @ z2[at]
-            dflat[at] += z2[at] @ p["d"][one].T
-        dh = dflat.reshape(h.shape) * (1 - h * h)
-        g["o"], g["ob"] = np.einsum("btw,bth->wh", c, dh, optimize=True), dh.sum((0, 1))
-        dc = dh @ p["o"].T
+        if self.steps % 8 == 0:  # a few steps change little beside what SAFE leaves
+            self._bound(tables)
+        of, a, c = self._attend(x, tables)
+        flat, at = x.ravel(), np.flatnonzero(live)
+        n = np.float32(len(at))
+        order, parts = self._by_group(y.ravel()[at])
+        at = at[order]
+        member, xs, cs = y.ravel()[at] % MEMBERS, flat[at], c.take(at, 0)
+        h = cs @ p["o"]
+        h += tables[2].take(xs, 0)
+        np.tanh(h, out=h)
+        g = {k: np.zeros_like(p[k]) for k in ("c", "d")}
+        dh, right, sums = np.empty_like(h), np.empty((2, len(h)), np.float32), np.empty((2, len(h)), np.float32)
+        for k, l, r in parts:
+            hs, every = h[l:r], (np.arange(r - l), member[l:r])
+            z = hs @ p["c"]
+            z += p["table"].take(xs[l:r], 0)
+            right[0, l:r], sums[0, l:r] = self._soft(z, (slice(None), k))
+            z *= (1 / sums[0, l:r])[:, None]
+            z[:, k] -= 1
+            g["c"] += hs.T @ z
+            np.matmul(z, p["c"].T, out=dh[l:r])
+            np.matmul(hs, p["d"][k], out=z)
+            z += p["below"].take(xs[l:r] * GROUPS + k, 0)
+            right[1, l:r], sums[1, l:r] = self._soft(z, every)
+            z *= (1 / sums[1, l:r])[:, None]
+            z[every] -= 1
+            np.matmul(hs.T, z, out=g["d"][k])
+            dh[l:r] += z @ p["d"][k].T
+        loss = float((np.log(sums) - right).sum(dtype=np.float64))
+        h *= h
+        np.subtract(1, h, out=h)
+        dh *= h
+        g["o"], g["ob"] = cs.T @ dh, dh.sum(0)
+        both = np.zeros((len(flat), 2 * WIDTH), np.float32)  # of what attention gathers, and of the direct path
+        both[at] = dh @ np.concatenate([p["o"], p["s"]]).T
+        own = np.einsum("ij,ij->i", c, both[:, :WIDTH]).reshape(*x.shape, 1)
+        dc, q, k, v = both.reshape(*x.shape, -1)[:, :, :WIDTH], of[:, :, :WIDTH], of[:, :, WIDTH : 2 * WIDTH], of[:, :, 2 * WIDTH :]
+        d = np.empty_like(of)
+        np.matmul(a.transpose(0, 2, 1), dc, out=d[:, :, 2 * WIDTH :])
         da = dc @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dc
-        da = a * (da - (a * da).sum(2, keepdims=True))
-        dq, dk = da @ k * scale, da.transpose(0, 2, 1) @ q  # q carries the scale already
-        e = p["e"][x]
-        eq, ek = e + p["pos"], e + p["pos"]
-        g["q"], g["k"], g["v"] = (np.einsum("bti,btj->ij", l, r, optimize=True) for l, r in ((eq, dq), (ek, dk), (e, dv)))
-        g["s"] = np.einsum("bti,btj->ij", e, dh, optimize=True)
-        dpos = dq @ p["q"].T + dk @ p["k"].T
-        g["pos"] = dpos.sum(0)
-        de = dpos + dv @ p["v"].T + dh @ p["s"].T
+        da -= own
+        da *= a
+        np.matmul(da, k, out=d[:, :, :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
+        # the scale belongs to the weights of queries; those that keys meet carry it already
+        of = np.concatenate([p["q"] * scale, p["k"], p["v"]], 1)
+        places = d.sum(0)
+        d = d.reshape(len(flat), -1)
+        every = p["e"].take(flat, 0).T @ d + p["pos"].T @ (places * (np.arange(3 * WIDTH) < 2 * WIDTH))
+        every[:, :WIDTH] *= scale
+        g["q"], g["k"], g["v"] = np.split(every, 3, 1)
+        g["s"], g["pos"] = p["e"].take(xs, 0).T @ dh, places[:, : 2 * WIDTH] @ of[:, : 2 * WIDTH].T
+        de = d @ of.T
+        de += both[:, WIDTH:]
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.diff(flat, prepend=-1))
         self.steps += 1
-        rows, at = np.unique(xs, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        self._adam("e", np.add.reduceat(de.reshape(len(at), -1)[order], np.searchsorted(at[order], np.arange(len(rows))), axis=0), rate, rows)
+        self._adam("e", np.add.reduceat(de.take(order, 0), first, axis=0) / n, rate, flat[first])
         for name, value in g.items():
-            self._adam(name, value, rate)
-        return loss
+            self._adam(name, value / n, rate)
+        return loss / float(n)
 
     def _adam(self, name: str, grad: np.ndarray, rate: float, rows=slice(None)) -> None:
         m, s = self.moments[name]
-        m[rows] = 0.9 * m[rows] + 0.1 * grad
-        s[rows] = 0.99 * s[rows] + 0.01 * grad * grad
-        self.p[name][rows] -= rate * (m[rows] / (1 - 0.9**self.steps)) / (np.sqrt(s[rows] / (1 - 0.99**self.steps)) + 1e-8)
+        m[rows] = one = 0.9 * m[rows] + 0.1 * grad
+        s[rows] = two = 0.99 * s[rows] + 0.01 * grad * grad
+        self.p[name][rows] -= rate / (1 - 0.9**self.steps) * one / (np.sqrt(two / (1 - 0.99**self.steps)) + 1e-8)
 
 
 def fit(model: Attention, pairs: np.ndarray, sequences: list[np.ndarray], steps: int = 900, batch: int = 64, seed: int = 5) -> Attention:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import attention, token_counts
-from lodestar.llm.common import drop, held_out, materialise, Numbering, ragged, released, text_chunks, texts_of
+from lodestar.llm.common import drop, held_out, kept, materialise, Numbering, ragged, released, text_chunks, texts_of
 
 #: Training documents that the attention weights start from, and steps of that fit.
 SAMPLE_DOCS, STEPS = 3000, 5000
@@ -337,7 +337,7 @@ def score(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id",
     frequent = {w: i for i, (w, _) in enumerate(sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:FREQUENT])}
 
     # every text is read, split and cut once; what comes of it waits in the shared folder
-    cut, p_cut = materialise(spark, docs.select("doc", "text", "held").mapInArrow(released(lambda it: _scan(it, path, shards, frequent)), _CUT), "lm-cut")
+    cut, p_cut = materialise(spark, docs.select("doc", "text", "held").mapInArrow(kept(lambda it: _scan(it, path, shards, frequent)), _CUT), "lm-cut")
     packed = cut.where("kind in (0, 1)").select("shard", "kind", "block", "blob")
     settled = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(released(_settle), _PACKED)
     settled, p_settled = materialise(spark, settled, "lm-settled")
@@ -370,7 +370,7 @@ def score(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id",
     model = attention.Attention(counts, initial)
     rows, classes = len(model.p["table"]), model.classes
     shared = spark.sparkContext.broadcast((model.input.astype(np.int64), model.cls.astype(np.int64), rows, classes))
-    paired = cut.where("kind = 8 and not held").select("ids").mapInArrow(released(lambda it: _pairs(it, shared, path, shards)), _PACKED)
+    paired = cut.where("kind = 8 and not held").select("ids").mapInArrow(kept(lambda it: _pairs(it, shared, path, shards)), _PACKED)
     found = paired.select("shard", "blob").repartition(shards, "shard").mapInArrow(released(lambda it: _summed(it, rows * classes)), _PACKED)
     pairs = np.zeros(rows * classes, np.int64)
     for r in found.select("blob").collect():  # at most one number a pair of input and class
@@ -380,7 +380,7 @@ def score(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id",
     del pairs
     # the sample only gave a start: copies of the model learn from every token of all training documents, and are averaged
     start = spark.sparkContext.broadcast(model)
-    learned = cut.where("kind = 8 and not held").select("ids").mapInArrow(released(lambda it: _learn(it, start, path, shards)), _PACKED)
+    learned = cut.where("kind = 8 and not held").select("ids").mapInArrow(kept(lambda it: _learn(it, start, path, shards)), _PACKED)
     learned = learned.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(released(_added), _PACKED)
     parts = {r["shard"]: r["blob"] for r in learned.select("shard", "blob").collect()}  # one number a weight
     if parts:
@@ -390,7 +390,7 @@ def score(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id",
     fitted = spark.sparkContext.broadcast((model, np.log10(often + 0.1), (often > 0).astype(np.float64)))  # of fixed size
 
     base = settled.where("kind in (0, 2)").repartition(shards, "block").sortWithinPartitions("block").mapInArrow(released(_base), "doc long, row long, n_tokens long, held boolean, part double, known long")
-    scored = cut.where("kind = 8").select("doc", "row", "ids", "often").mapInArrow(released(lambda it: _score(it, fitted, path)), "doc long, row long, score double, more double, more_known long").dropDuplicates(["doc", "row"])
+    scored = cut.where("kind = 8").select("doc", "row", "ids", "often").mapInArrow(kept(lambda it: _score(it, fitted, path)), "doc long, row long, score double, more double, more_known long").dropDuplicates(["doc", "row"])
     scored = scored.withColumnRenamed("doc", "doc2").withColumnRenamed("row", "row2")
     out = base.join(scored, (F.col("row") == F.col("row2")) & F.col("doc").eqNullSafe(F.col("doc2")))
     each = float(np.log10(n + 0.1 * (v + 1)))
