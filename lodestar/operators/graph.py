@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """End the lineage by a reliable checkpoint in the folder that the cluster names, if it does."""
+def _folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which is the one that the cluster names, if it does."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """End the lineage by a reliable checkpoint."""
+    _folder(spark)
     return df.checkpoint()
 
 
